@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,6 +191,20 @@ def _encoder(raw: bytes, pattern: str, cache_words: int) -> BlockEncoder:
     return _encoders[key]
 
 
+def _blocks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose column holds about ``size`` bytes each; a
+    single larger value is a slice by itself."""
+    kept = batch.column(column)
+    whole = pc.binary_length(kept) if pa.types.is_string(kept.type) or pa.types.is_binary(kept.type) else pc.multiply(pc.list_value_length(kept), 4)
+    sizes = np.cumsum(pc.fill_null(whole, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + size, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
@@ -208,8 +223,8 @@ def encode(
     text_col: str = "text",
     ids_col: str = "ids",
     packed: bool = False,
-    block_chars: int = 8_000_000,
-    cache_words: int = 700_000,
+    block_chars: int = 4_000_000,
+    cache_words: int = 400_000,
 ) -> DataFrame:
     """Add the ids of each text: array<int>, or with ``packed`` little-endian
     unsigned 32-bit integers as binary. ``df`` must not have ``ids_col`` yet.
@@ -224,21 +239,15 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern, cache_words)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            ids: list[bytes] = []
-            start = held = 0
-            for i, t in enumerate(texts):
-                held += len(t) if t else 0
-                if held >= block_chars or i + 1 == len(texts):
-                    ids += encoder.encode(texts[start : i + 1])
-                    start, held = i + 1, 0
-            yield _with_column(batch, ids_col, _binary_or_list(ids, packed))
+            for block in _blocks(batch, text_col, block_chars):
+                ids = encoder.encode(block.column(text_col).to_pylist())
+                yield _with_column(block, ids_col, _binary_or_list(ids, packed))
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, kind)]))
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", block_bytes: int = 4_000_000) -> DataFrame:
     """Add the bytes that the ids stand for. ``ids_col`` is array<int> or packed
     binary; null counts as no ids. An id outside the vocabulary raises."""
     if bytes_col in df.columns:
@@ -249,11 +258,12 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = {rank: token for token, rank in parse_ranks(shared.value).items()}
         for batch in batches:
-            rows = batch.column(ids_col).to_pylist()
-            if packed:
-                rows = [np.frombuffer(x, dtype="<u4").tolist() if x else [] for x in rows]
-            out = [b"".join(map(vocabulary.__getitem__, x or [])) for x in rows]
-            yield _with_column(batch, bytes_col, pa.array(out, type=pa.binary()))
+            for block in _blocks(batch, ids_col, block_bytes):
+                out = []
+                for x in block.column(ids_col):
+                    ids = np.frombuffer(x.as_py() or b"", dtype="<u4").tolist() if packed else x.as_py() or []
+                    out.append(b"".join(map(vocabulary.__getitem__, ids)))
+                yield _with_column(block, bytes_col, pa.array(out, type=pa.binary()))
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
