@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+ROWS_A_FILE = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's own file systems."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a replicated-by-storage checkpoint.
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut lineage with a checkpoint in shared storage.
+
+    ``rows``: about how many rows are expected; so few files are written for
+    small tables, and as many as needed for large ones.
 
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
     unset (tests on one machine) a temporary one is made.
@@ -22,6 +28,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ringside-ckpt-"))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 

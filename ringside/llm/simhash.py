@@ -100,17 +100,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the least node of
     its component. Alternates large-star and small-star until nothing moves."""
     edges = checkpointed(edges)
-    seen = None
+    size, seen = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        large = checkpointed(large)
+        large = checkpointed(large, 2 * size)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(
             F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a < b").distinct()
-        edges = checkpointed(small)
+        edges = checkpointed(small, 2 * size)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break

@@ -78,7 +78,8 @@ def templates(
     ``paths``: host, first, n, labelled, blocked; one row for each host and first.
     """
     paths = checkpointed(paths)  # from here on as many rows as different paths
-    whole = paths.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
+    whole = paths.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("n")).first()
+    size = whole["n"]
     prior = (whole["b"] or 0) / whole["l"] if whole["l"] else 0.0
     smooth = lambda b, l: (b + F.lit(strength * prior)) / (l + F.lit(strength))  # noqa: E731, E741
     rows = paths.withColumn("left", F.split("first", "/")).withColumn("made", F.lit(""))
@@ -91,7 +92,7 @@ def templates(
         children = conts.groupBy("host", "made", "seg").agg(
             F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.max(F.struct("n", "then")).alias("most")
         )
-        children = checkpointed(children.withColumn("rate", F.floor(smooth(F.col("b"), F.col("l")) * 5)))
+        children = checkpointed(children.withColumn("rate", F.floor(smooth(F.col("b"), F.col("l")) * 5)), size)
         nodes = children.groupBy("host", "made").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
         varies = (F.col("kinds") >= min_children) & (F.col("kinds") * 2 >= F.col("pages"))
         alike = children.groupBy("host", "made", F.col("most.then").alias("then"), "rate").agg(F.min("seg").alias("least"), F.count("*").alias("members"))
@@ -106,7 +107,8 @@ def templates(
             step.join(named, ["host", "made", "seg"])
             .withColumn("made", F.when(F.size("left") > 0, F.concat("made", F.lit("/"), "name")).otherwise(F.col("made")))
             .withColumn("left", F.when(F.size("left") > 1, F.slice("left", 2, 1 << 30)).otherwise(F.array().cast("array<string>")))
-            .select(*rows.columns)
+            .select(*rows.columns),
+            size,
         )
     rows = rows.withColumn("template", F.when(F.size("left") > 0, F.concat("made", F.lit("/{rest}"))).otherwise(F.col("made")))
     sums = rows.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
