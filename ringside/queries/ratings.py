@@ -1,2 +1,112 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Ratings, prestige, common opponents and the graph family."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import pagerank, ratings
+from ..plans import opponents
+from ..plans.bouts import FROM_SALES
+from ..plans.dialect import Duck
+from ..plans.replay import RECORD_ONLY
+from .base import Registry, tables
+
+_r = Registry()
+SALES = ("lineitem", "orders", "customer")
+
+
+def _bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _BOUTS.run(spark, tables(spark, sf_dir, *SALES))
+
+
+_BOUTS = FROM_SALES.then(("out", lambda d: "SELECT fight_url, tick, day, a, b, winner, method, ending_round, event_date FROM bouts"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ratings.elo_of(ratings.rated(_bouts(spark, sf_dir), ("elo",))))
+
+
+def glicko2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ratings.glicko_of(ratings.rated(_bouts(spark, sf_dir), ("glicko2",))))
+
+
+def _asked(bouts: DataFrame, every: int) -> DataFrame:
+    """The first tick of each ``every`` days, and the one after the last."""
+    asked = bouts.groupBy(F.floor(F.col("day") / every).alias("span")).agg(F.min("tick").alias("as_of"))
+    return asked.select("as_of").union(bouts.select((F.max("tick") + 1).alias("as_of")))
+
+
+def pagerank_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prestige at the start of each year and after the last event."""
+    bouts = _bouts(spark, sf_dir)
+    return _rounded(pagerank.ranked(*pagerank.graphs(bouts, _asked(bouts, 365))))
+
+
+def pagerank_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prestige after the last event, by 20 fixed iterations (for the SQL twin)."""
+    bouts = _bouts(spark, sf_dir)
+    nodes, edges = pagerank.graphs(bouts, bouts.select((F.max("tick") + 1).alias("as_of")))
+    return _rounded(pagerank.ranked(nodes, edges, tol=0.0, most=20))
+
+
+_PAGERANK_SQL = (
+    "WITH RECURSIVE "
+    + _BOUTS.text(Duck())[5:].rsplit("SELECT fight_url, tick, day, a, b", 1)[0].rstrip()
+    + """,
+nodes AS (SELECT DISTINCT unnest([a, b]) AS node FROM bouts),
+latest AS (SELECT max(day) AS ref FROM bouts WHERE winner IS NOT NULL),
+edges AS (SELECT CASE WHEN winner = a THEN b ELSE a END AS src, winner AS dst,
+  sum((1.0::DOUBLE + CASE method WHEN 'KO/TKO' THEN 0.3 WHEN 'Submission' THEN 0.2 ELSE 0 END + CASE WHEN ending_round <= 2 THEN 0.1 ELSE 0 END) * exp(-0.3::DOUBLE * (ref - day) / 365.25::DOUBLE)) AS w
+  FROM bouts, latest WHERE winner IS NOT NULL GROUP BY 1, 2),
+outs AS (SELECT src AS node, sum(w) AS tot FROM edges GROUP BY 1),
+share AS (SELECT e.src, e.dst, e.w / o.tot AS p FROM edges e JOIN outs o ON o.node = e.src),
+size AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+pr(k, node, x) AS (
+  SELECT 0, node, 1 / n FROM nodes, size
+  UNION ALL
+  SELECT s.k + 1, s.node, 0.85::DOUBLE * (coalesce(f.f, 0) + s.lost / n) + 0.15::DOUBLE / n
+  FROM (SELECT p.k, p.node, p.x, sum(CASE WHEN o.node IS NULL THEN p.x ELSE 0 END) OVER () AS lost FROM pr p LEFT JOIN outs o ON o.node = p.node WHERE p.k < 20) s
+  LEFT JOIN (SELECT sh.dst AS node, sum(p.x * sh.p) AS f FROM pr p JOIN share sh ON sh.src = p.node GROUP BY 1) f ON f.node = s.node, size)
+SELECT (SELECT max(tick) + 1 FROM bouts)::INT AS as_of, node,
+  round(CASE WHEN node IN (SELECT src FROM edges UNION SELECT dst FROM edges) THEN x ELSE min(x) OVER () END, 6) AS score
+FROM pr WHERE k = 20"""
+)
+
+_r.plan("common_opponents", FROM_SALES.then(*RECORD_ONLY, opponents.NO_QUALITY, *opponents.COMMON[:-1], ("out", opponents.COMMON[-1][1])), *SALES)
+_r.add("elo", elo)
+_r.add("glicko2", glicko2)
+_r.add("pagerank_ticks", pagerank_ticks)
+_r.add("pagerank_asof", pagerank_asof, _PAGERANK_SQL)
+
+
+def emit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 13 columns of the graph family, for both sides of every bout: ratings
+    before the tick, prestige at the start of the span the bout is in, and common
+    opponents seen from the side."""
+    source = tables(spark, sf_dir, *SALES)
+    bouts = _bouts(spark, sf_dir)
+    both = ratings.rated(bouts)
+    asked = _asked(bouts, 365)
+    prestige = pagerank.ranked(*pagerank.graphs(bouts, asked)).select("as_of", F.col("node").alias("fighter"), F.col("score").alias("pagerank_score"))
+    common = FROM_SALES.then(*RECORD_ONLY, opponents.NO_QUALITY, *opponents.COMMON[:-1], ("out", opponents.COMMON[-1][1])).run(spark, source)
+    spans = bouts.groupBy(F.floor(F.col("day") / 365).alias("span")).agg(F.min("tick").alias("as_of"))
+    rows = bouts.select("fight_url", F.floor(F.col("day") / 365).alias("span"), F.posexplode(F.array("a", "b")).alias("side", "fighter")).join(F.broadcast(spans), "span")
+    rows = rows.join(ratings.elo_of(both), ["fight_url", "fighter"], "left").join(ratings.glicko_of(both), ["fight_url", "fighter"], "left")
+    rows = rows.join(prestige, ["as_of", "fighter"], "left").join(common, "fight_url")
+    swap = lambda x, y: F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y))
+    return _rounded(rows.select(
+        "fight_url", F.col("side").cast("int").alias("side"), "elo_rating", "elo_peak", "elo_current_vs_peak", "elo_trajectory_last5", "glicko2_rating", "glicko2_rd", "pagerank_score", "n_common_opponents",
+        swap("common_opp_score_a", "common_opp_score_b").alias("common_opp_score_a"), swap("common_opp_score_b", "common_opp_score_a").alias("common_opp_score_b"),
+        F.when(F.col("side") == 0, F.col("common_opp_score_delta")).otherwise(-F.col("common_opp_score_delta")).alias("common_opp_score_delta"),
+        swap("common_opp_a_win_rate", "common_opp_b_win_rate").alias("common_opp_a_win_rate"), swap("common_opp_b_win_rate", "common_opp_a_win_rate").alias("common_opp_b_win_rate"),
+    ))
+
+
+_r.add("emit_graph", emit_graph)
+
+QUERIES, SQL = _r.queries, _r.sql
