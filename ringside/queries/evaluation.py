@@ -1,2 +1,83 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Folds, metrics, reliability, calibration, matrix, training and inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as op
+from ..operators import model
+from ..plans import evaluation as E
+from ..plans import features as feats
+from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
+from ..plans.dialect import Plan
+from ..plans.replay import REPLAY
+from .base import Registry, tables
+
+_r = Registry()
+_PREDS = Plan((E.PREDICTIONS,))
+_DOCS = ("documents", "labels")
+SALES = ("lineitem", "orders", "customer")
+
+_r.plan("eval_scores", _PREDS.then(E.scores_by(None)), *_DOCS)
+_r.plan("eval_scores_by_event", _PREDS.then(E.scores_by("event_id")), *_DOCS)
+_r.plan("eval_reliability", _PREDS.then(E.RELIABILITY), *_DOCS)
+_r.plan("eval_cumulative_skill", _PREDS.then(E.CUMULATIVE), *_DOCS)
+_r.plan("eval_mde", _PREDS.then(E.MDE), *_DOCS)
+_r.plan("eval_ablation", _PREDS.then(E.ABLATION), *_DOCS)
+_r.plan("eval_permutation", _PREDS.then(E.permutation(1000)), *_DOCS)
+_r.plan("gate", _PREDS.then(E.gate()), *_DOCS)
+_r.plan("candidate_rank", _PREDS.then(E.CANDIDATES), *_DOCS)
+
+
+def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _PREDS.then(("out", lambda d: "SELECT * FROM preds")).run(spark, tables(spark, sf_dir, *_DOCS))
+
+
+def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _PREDS.then(E.RELIABILITY).run(spark, tables(spark, sf_dir, *_DOCS))
+    return op.with_interval(rows, "n_won", "n_fights")
+
+
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.bootstrap(_preds(spark, sf_dir))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrators fitted on even documents, judged on odd ones."""
+    preds = _preds(spark, sf_dir)
+    even = F.col("doc_id") % 2 == 0
+    return op.best_calibrator(op.calibrated(preds.where(even), preds.where(~even), guard=20))
+
+
+def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = FROM_SALES.then(("out", lambda d: "SELECT event_url, event_date, CAST(count(*) AS INT) AS n_fights FROM bouts GROUP BY event_url, event_date"))
+    return op.fold_table(spark, plan.run(spark, tables(spark, sf_dir, *SALES)))
+
+
+_r.add("clopper_pearson", clopper_pearson)
+_r.add("bootstrap_ci", bootstrap_ci)
+_r.add("calibration", calibration)
+_r.add("folds", folds)
+
+_WIDE = FROM_SALES.then(FIGHTERS_FROM_SALES, *REPLAY, *feats.FRAME_ALL, feats.wide_part(6))
+_r.plan("model_matrix", _WIDE.then(model.FIGHT_LEVEL, model.MATRIX), *SALES, "supplier")
+_r.plan("model_exclusions", FROM_SALES.then(model.EXCLUSIONS), *SALES)
+_r.plan("symmetric_inference", _WIDE.then(model.FIGHT_LEVEL, model.SYMMETRIC), *SALES, "supplier")
+
+
+def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _WIDE.then(model.FIGHT_LEVEL, ("out", lambda d: "SELECT * FROM fight_level")).run(spark, tables(spark, sf_dir, *SALES, "supplier")).columns
+    return spark.createDataFrame([(r, c) for r in model.RUNGS for c in model.columns_of(names, r)], "rung string, column_name string")
+
+
+def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees on bouts before 2000, scored on the rest."""
+    rows = _WIDE.then(model.FIGHT_LEVEL, model.MATRIX).run(spark, tables(spark, sf_dir, *SALES, "supplier"))
+    return model.trained(rows.where("event_date < '2000-01-01'"), rows.where("event_date >= '2000-01-01'"))
+
+
+_r.add("model_rungs", rungs)
+_r.add("model_trained", trained)
+
+QUERIES, SQL = _r.queries, _r.sql
