@@ -123,14 +123,16 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str =
         raise ValueError(f"there is a column {lang_col} or {score_col} already")
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by train()'s parameters
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            found = [scorer.score(t) for t in b.column(text_col).to_pylist()]
-            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, lang_col, score_col])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+        for batch in texts:
+            found = [scorer.score(t.as_py()) for t in batch]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang", "score"])
+
+    # texts go to the workers and only the answers come back
+    udf = F.arrow_udf(run, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]), F.ArrowUDFType.SCALAR_ITER)
+    rows = df.withColumn("_rs_found", udf(F.col(text_col)))
+    return rows.select(*df.columns, F.col("_rs_found.lang").alias(lang_col), F.col("_rs_found.score").alias(score_col))
 
 
 def held_out(doc_id: Column) -> Column:
