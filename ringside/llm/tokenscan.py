@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 RUN = 4096
 WIDTHS = {2: "<u2", 4: "<u4"}
 
@@ -53,8 +55,8 @@ def written_blocks(ids: DataFrame, separator: int, width: int = 2, block_tokens:
             return pa.RecordBatch.from_pydict({"path": [name], "block": pa.array([block], pa.int64()), "content": pa.array([content], pa.binary())})
 
         for b in batches:
-            for x in b.column(ids_col).to_pylist():
-                for piece in (np.frombuffer(x or b"", dtype="<u4").astype(kind).tobytes(), end):
+            for x in b.column(ids_col):
+                for piece in (np.frombuffer(x.as_py() or b"", dtype="<u4").astype(kind).tobytes(), end):
                     held.append(piece)
                     size += len(piece)
                 if size >= full:
@@ -110,7 +112,8 @@ def _scanned(rows: DataFrame, group: list[str], order: str) -> DataFrame:
 
 def token_counts(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
     """path, doc_index (from 0, in file order), n_tokens, open."""
-    rows = summaries(blocks, separator, width).withColumn("run", F.floor(F.col("block") / RUN))
+    rows = checkpointed(summaries(blocks, separator, width))  # files are read once; a row a block from here on
+    rows = rows.withColumn("run", F.floor(F.col("block") / RUN))
     inside = _scanned(rows, ["path", "run"], "block")
     # a run's summary is a block's: separators, and the tokens after its last
     runs = inside.groupBy("path", "run").agg(
