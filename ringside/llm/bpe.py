@@ -223,8 +223,8 @@ def encode(
     text_col: str = "text",
     ids_col: str = "ids",
     packed: bool = False,
-    block_chars: int = 4_000_000,
-    cache_words: int = 400_000,
+    block_chars: int = 2_000_000,
+    cache_words: int = 200_000,
 ) -> DataFrame:
     """Add the ids of each text: array<int>, or with ``packed`` little-endian
     unsigned 32-bit integers as binary. ``df`` must not have ``ids_col`` yet.
@@ -242,12 +242,13 @@ def encode(
             for block in _blocks(batch, text_col, block_chars):
                 ids = encoder.encode(block.column(text_col).to_pylist())
                 yield _with_column(block, ids_col, _binary_or_list(ids, packed))
+            pa.default_memory_pool().release_unused()
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, kind)]))
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", block_bytes: int = 4_000_000) -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", block_bytes: int = 2_000_000) -> DataFrame:
     """Add the bytes that the ids stand for. ``ids_col`` is array<int> or packed
     binary; null counts as no ids. An id outside the vocabulary raises."""
     if bytes_col in df.columns:
@@ -264,6 +265,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
                     ids = np.frombuffer(x.as_py() or b"", dtype="<u4").tolist() if packed else x.as_py() or []
                     out.append(b"".join(map(vocabulary.__getitem__, ids)))
                 yield _with_column(block, bytes_col, pa.array(out, type=pa.binary()))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
