@@ -144,7 +144,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     rows = candidates.select("id", "v", norm.alias("norm"))
     dim = candidates.select(F.max(F.size("v"))).union(queries.select(F.max(F.size("v")))).agg(F.max("max(size(v))")).first()[0] or 1
     turn = rotation(candidates, dim)
-    sorted_rows = rows.repartitionByRange(F.desc("norm"), F.asc("id")).sortWithinPartitions(F.desc("norm"), F.asc("id"))
+    parts = max(1, -(-rows.count() // BLOCK))  # full blocks, however many partitions the session asks for
+    by_norm = [F.desc("norm"), F.asc("id")]
+    sorted_rows = rows.repartitionByRange(parts, *by_norm).coalesce(parts).sortWithinPartitions(*by_norm)
     blocks = checkpointed(_packed(sorted_rows.select("id", "v"), dim, BLOCK))
     # a row for each BLOCK candidates: 24 bytes each
     metas = blocks.select("part", "no", "longest").orderBy("part", "no").collect()
