@@ -5,7 +5,8 @@
 its contestants. Both give the same columns.
 
 tick: a whole number that orders events; contests of one event share it. Events
-are few beside contests; they are numbered by one window over the event table.
+are few beside contests; they are numbered by one window over the event table
+(or are dates, which number themselves).
 """
 
 from __future__ import annotations
@@ -80,16 +81,16 @@ def _raw(d: Dialect) -> str:
 FROM pairs p JOIN {d.table('orders')} o ON p.l_orderkey = o.o_orderkey JOIN {d.table('customer')} c ON o.o_custkey = c.c_custkey"""
 
 
-def _numbered(d: Dialect) -> str:
-    return "SELECT event_url, CAST(dense_rank() OVER (ORDER BY event_date, event_url) AS INT) AS tick FROM (SELECT DISTINCT event_url, event_date FROM raw_bouts) e"
+def _day(d: Dialect, column: str = "event_date") -> str:
+    return d.days(column, "DATE '1970-01-01'")
 
 
-def _bouts(d: Dialect) -> str:
-    return f"SELECT r.*, t.tick, {d.days('r.event_date', 'DATE ' + chr(39) + '1970-01-01' + chr(39))} AS day, {duration(d)} AS minutes FROM raw_bouts r JOIN ticks t ON r.event_url = t.event_url"
+def _sales_bouts(d: Dialect) -> str:
+    """An event is a date here, so the day itself orders the events."""
+    return f"SELECT *, CAST({_day(d)} AS INT) AS tick, {_day(d)} AS day, {duration(d)} AS minutes FROM raw_bouts"
 
 
-TICKS: tuple[Part, ...] = (("ticks", _numbered), ("bouts", _bouts))
-FROM_SALES = Plan((("lines", _lines), ("pairs", _pairs), ("raw_bouts", _raw), *TICKS))
+FROM_SALES = Plan((("lines", _lines), ("pairs", _pairs), ("raw_bouts", _raw), ("bouts", _sales_bouts)))
 
 
 def _joined(d: Dialect) -> str:
@@ -102,7 +103,15 @@ LEFT JOIN {d.table('fight_totals')} ta ON ta.fight_url = f.fight_url AND ta.figh
 LEFT JOIN {d.table('fight_totals')} tb ON tb.fight_url = f.fight_url AND tb.fighter_url = f.fighter_b_url"""
 
 
-FROM_TABLES = Plan((("raw_bouts", _joined), *TICKS))
+def _numbered(d: Dialect) -> str:
+    return f"SELECT event_url, CAST(dense_rank() OVER (ORDER BY date, event_url) AS INT) AS tick FROM {d.table('events')}"
+
+
+def _table_bouts(d: Dialect) -> str:
+    return f"SELECT r.*, t.tick, {_day(d)} AS day, {duration(d)} AS minutes FROM raw_bouts r JOIN ticks t ON r.event_url = t.event_url"
+
+
+FROM_TABLES = Plan((("raw_bouts", _joined), ("ticks", _numbered), ("bouts", _table_bouts)))
 
 
 def _fighters_sales(d: Dialect) -> str:
