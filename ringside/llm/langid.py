@@ -57,6 +57,19 @@ def _logs(counts: dict[str, np.ndarray], n_langs: int) -> tuple[dict[str, int],
     return {k: i for i, k in enumerate(keys)}, np.log(c / c.sum(axis=0)) if len(keys) else c
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """About ``most`` most frequent words of each language, without ordering all
+    words of one: the least frequency is found on a histogram of frequencies, and
+    of the words that have just that, a share is taken by hash."""
+    order = Window.partitionBy("lang").orderBy(F.desc("count"))
+    above = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = counts.groupBy("lang", "count").agg(F.count("*").alias("n")).withColumn("share", (most - above) / F.col("n")).where("share > 0")
+    steps = steps.select(F.col("lang").alias("_lang"), F.col("count").alias("_count"), "share")
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1_000_000)) / 1_000_000
+    rows = counts.join(F.broadcast(steps), (counts["lang"] == steps["_lang"]) & (counts["count"] == steps["_count"]))  # a row for each frequency
+    return rows.where(drawn < F.col("share")).select("lang", "word", "count").orderBy("lang", F.desc("count"), "word")
+
+
 def train(labelled: DataFrame, max_docs: int = 8_000, max_words: int = 20_000, max_n: int = 4) -> Model:
     """Fit on (doc_id, text, lang) rows; rows with a null in any are left out."""
     rows = labelled.where("text is not null and lang is not null")
@@ -65,8 +78,7 @@ def train(labelled: DataFrame, max_docs: int = 8_000, max_words: int = 20_000, m
     sample = rows.where(h < max(1, math.ceil(1_000_000 * max_docs / n))) if n > max_docs else rows
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").count()
-    top = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("nth") <= max_words)
-    found = top.select("lang", "word", "count").toPandas()  # max_words rows a language at most
+    found = _frequent(counts, max_words).toPandas()  # about max_words rows a language at most
     langs = sorted(found["lang"].unique())
     at = {lang: i for i, lang in enumerate(langs)}
     by_word: dict[str, np.ndarray] = {}
