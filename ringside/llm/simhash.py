@@ -103,10 +103,11 @@ def components(edges: DataFrame) -> DataFrame:
     size, seen = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # the minima are written out, so that a join on a hub can be split
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), size)
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         large = checkpointed(large, 2 * size)
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        low = checkpointed(large.groupBy("b").agg(F.min("a").alias("m")), size)
         small = large.join(low, "b").select(
             F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")
         ).select("e.a", "e.b").where("a < b").distinct()
