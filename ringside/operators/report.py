@@ -11,6 +11,7 @@ from .asof import asof_join
 #: Hours after a signal at which quotes are captured again. Fixed values.
 OFFSETS = {"1H": 1, "4H": 4, "24H": 24}
 FIGHT_TIME = "FIGHT_TIME"
+QUOTES = ("mid_price", "best_bid", "best_ask", "best_bid_size", "best_ask_size")
 
 
 def resolve_links(fights: DataFrame, fighters: DataFrame, questions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -88,8 +89,9 @@ def execute_due(scheduled: DataFrame, books: DataFrame, now: str) -> DataFrame:
     """Pending captures due at ``now``, filled from the first book at or after
     their time and not after ``now``; MISSED where there is none."""
     due = scheduled.where((F.col("status") == "PENDING") & (F.col("scheduled_at") <= F.lit(now).cast("timestamp_ntz")))
-    seen = books.where(F.col("captured_at") <= F.lit(now).cast("timestamp_ntz")).withColumnRenamed("captured_at", "scheduled_at")
-    out = asof_join(due.drop("status"), seen.select("token_id", "scheduled_at", "mid_price"), ["token_id"], "scheduled_at", ["mid_price"], forward=True)
+    quotes = [c for c in QUOTES if c in books.columns]
+    seen = books.where(F.col("captured_at") <= F.lit(now).cast("timestamp_ntz")).select("token_id", F.col("captured_at").alias("scheduled_at"), *quotes)
+    out = asof_join(due.drop("status", *quotes), seen, ["token_id"], "scheduled_at", quotes, forward=True)
     got = F.col("matched_at").isNotNull()
     return out.withColumn("status", F.when(got, "CAPTURED").otherwise("MISSED")).withColumn("failure_reason", F.when(~got, "no book at or after the time")).withColumnRenamed("matched_at", "actual_captured_at")
 
