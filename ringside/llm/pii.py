@@ -126,7 +126,9 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise_at: flo
     keys = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
     by_text = held.select("th", F.explode(keys).alias("entity")).groupBy("entity", "th").agg(F.count("*").alias("copies"))
     by_text = checkpointed(by_text)  # a row for each value and text: small beside the texts
+    # written out: a join on a value that a third of all texts hold can then be split
     frequent = by_text.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("df_entity")).where(F.col("texts") >= support)
+    frequent = checkpointed(frequent)
     pairs = checkpointed(by_text.join(frequent.select("entity", "df_entity"), "entity"))
     of_text = pairs.groupBy("th").agg(F.collect_list(F.struct("entity", "copies")).alias("entities"))
     texts = held.select("th", "blanked").dropDuplicates(["th"]).join(of_text, "th")
