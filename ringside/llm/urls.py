@@ -113,7 +113,8 @@ def templates(
     rows = rows.withColumn("template", F.when(F.size("left") > 0, F.concat("made", F.lit("/{rest}"))).otherwise(F.col("made")))
     sums = rows.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     sums = sums.select("host", "template", ((F.col("l") >= min_labelled) & (smooth(F.col("b"), F.col("l")) >= purity)).alias("rejected"))
-    return rows.select("host", "first", "template").join(sums, ["host", "template"])
+    # written out, so that the join of all pages with a hot template can be split
+    return checkpointed(rows.select("host", "first", "template").join(sums, ["host", "template"]), size)
 
 
 def judged(pages: DataFrame, rules=RULES, **how) -> DataFrame:
