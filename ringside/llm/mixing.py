@@ -105,11 +105,12 @@ def digests(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as its copies say."""
     total = plan(docs, **how).groupBy("doc_id", "th").agg(F.sum("n_copies").alias("_rs_copies"), F.count("*").alias("_rs_same"))
-    total = total.where("_rs_copies > 0").select(F.col("doc_id").alias("_rs_id"), F.col("th").alias("_rs_th2"), "_rs_copies", "_rs_same")
-    rows = docs.withColumn("_rs_th", F.xxhash64("text")).withColumn("_rs_doc", F.col("doc_id").cast("long"))
-    rows = rows.join(total, rows["_rs_doc"].eqNullSafe(total["_rs_id"]) & (rows["_rs_th"] == total["_rs_th2"]))
+    total = total.where("_rs_copies > 0").select(F.xxhash64("doc_id", "th").alias("_rs_k"), F.col("th").alias("_rs_th"), "_rs_copies", "_rs_same")
+    # keys without nulls: rows are dealt once, for the join and for the window
+    rows = docs.withColumn("_rs_th", F.xxhash64("text")).withColumn("_rs_k", F.xxhash64(F.col("doc_id").cast("long"), "_rs_th"))
+    rows = rows.join(total, ["_rs_k", "_rs_th"])
     # equal rows share the copies of their group evenly
-    nth = F.row_number().over(Window.partitionBy("_rs_doc", "_rs_th").orderBy("_rs_th"))
+    nth = F.row_number().over(Window.partitionBy("_rs_k", "_rs_th").orderBy("_rs_th"))
     share = F.floor(F.col("_rs_copies") * nth / F.col("_rs_same")) - F.floor(F.col("_rs_copies") * (nth - 1) / F.col("_rs_same"))
     rows = rows.withColumn("_rs_n", share.cast("int")).where("_rs_n > 0")
     return rows.withColumn("_rs_copy", F.explode(F.sequence(F.lit(1), F.col("_rs_n")))).select(*docs.columns)

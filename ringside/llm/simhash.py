@@ -147,7 +147,8 @@ def digests(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest
     doc_id (a row with an id before one without; repeated ids by text hash)."""
-    kept = near_duplicates(docs, radius).where("th <=> keep_th and doc_id <=> component_id").select("doc_id", "th").distinct()
-    rows = docs.withColumn("_rs_th", F.xxhash64("text"))
-    same = (rows["doc_id"].eqNullSafe(kept["doc_id"])) & (rows["_rs_th"] == kept["th"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_rs_th"]).select(*docs.columns)
+    kept = near_duplicates(docs, radius).where("th <=> keep_th and doc_id <=> component_id")
+    kept = kept.select(F.xxhash64("doc_id", "th").alias("_rs_k"), F.col("th").alias("_rs_th")).distinct()
+    # keys without nulls: rows are dealt once, for the join and for repeated rows
+    rows = docs.withColumn("_rs_th", F.xxhash64("text")).withColumn("_rs_k", F.xxhash64(F.col("doc_id").cast("long"), "_rs_th"))
+    return rows.join(kept, ["_rs_k", "_rs_th"], "left_semi").dropDuplicates(["_rs_k", "_rs_th"]).select(*docs.columns)
