@@ -1,7 +1,8 @@
 """Common opponents: whom both contestants of a bout met before.
 
-Histories are reduced to (bout, side, opponent) before the two sides are joined
-on the shared opponent, so the join's size is the number of shared opponents.
+Histories are reduced to (bout, side, opponent) where they are joined (the
+contestant is one of the keys, so nothing is dealt again), before the two sides
+are joined on the shared opponent, so the join's size is the number of shared opponents.
 Shared means met by both within three years before the bout; win rates count all
 earlier bouts against the shared set. Quality comes from an injected snapshot
 (fighter, elo, pagerank); who isn't in it has 1500 and 0.
@@ -19,7 +20,7 @@ def _met(d: Dialect) -> str:
     return f"""SELECT c.fight_url, c.side, c.event_date, h.opponent AS opp,
   max(CASE WHEN h.event_date >= {cutoff} THEN h.event_date END) AS last_day, CAST(sum(h.won) AS BIGINT) AS won, CAST(sum(h.won + h.lost) AS BIGINT) AS decided
 FROM flags c JOIN flags h ON h.fighter = c.fighter AND h.tick < c.tick
-WHERE h.opponent <> c.opponent GROUP BY c.fight_url, c.side, c.event_date, h.opponent
+WHERE h.opponent <> c.opponent GROUP BY c.fighter, c.fight_url, c.side, c.event_date, h.opponent
 HAVING max(CASE WHEN h.event_date >= {cutoff} THEN h.event_date END) IS NOT NULL"""
 
 

@@ -83,6 +83,8 @@ def _rolled(d: Dialect) -> str:
   coalesce(max(CASE WHEN lost = 1 THEN decided END) OVER {seq}, 0) AS loss_at,
   CAST(sum(CASE WHEN weight_class = first_class THEN 1 ELSE 0 END) OVER {seq} AS BIGINT) AS first_n,
   CAST(sum(CASE WHEN weight_class = first_class THEN won ELSE 0 END) OVER {seq} AS BIGINT) AS first_won,
+  avg(CAST(won AS DOUBLE)) OVER (PARTITION BY fighter ORDER BY tick, fight_url ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS won_last3,
+  avg(CAST(won AS DOUBLE)) OVER (PARTITION BY fighter ORDER BY tick, fight_url ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS won_last5,
   CAST(sum(CASE WHEN class_before IS NOT NULL AND weight_class <> class_before THEN 1 ELSE 0 END) OVER {seq} AS BIGINT) AS moves
 FROM posted
 WINDOW roll AS (PARTITION BY fighter, has ORDER BY tick, fight_url ROWS BETWEEN {ROLLING - 1} PRECEDING AND CURRENT ROW)"""
@@ -99,7 +101,7 @@ def _prior(d: Dialect) -> str:
     sums = [f"CAST(coalesce(sum({sql}) OVER prior, 0) AS BIGINT) AS {name}" for name, sql in SUMS.items()]
     last = d.pack(
         tick="tick", fight_url="fight_url", day="event_date", method="method", klass="weight_class", class_n="class_n", class_won="class_won",
-        first_class="first_class", first_n="first_n", first_won="first_won", moves="moves",
+        first_class="first_class", first_n="first_n", first_won="first_won", moves="moves", won_last3="won_last3", won_last5="won_last5",
         streak="win_at - loss_at",  # decisive bouts since the last of the other kind
     )
     rolling = d.pack(

@@ -31,6 +31,7 @@ _r.plan("activity_windows", _replayed.then(("out", lambda d: "SELECT fight_url,
 _r.plan("rolling_avg", _replayed.then(("out", lambda d: "SELECT fight_url, side, " + columns(f"round(rolling.avg_{r}, 6) AS {r}" for r in RATES) + " FROM prior_state")), *SALES)
 _r.plan("rolling_var", _replayed.then(("out", lambda d: "SELECT fight_url, side, " + columns(f"round(rolling.var_{r}, 6) AS var_{r}" for r in VARIED) + " FROM prior_state")), *SALES)
 _r.plan("weight_history", _replayed.then(("out", lambda d: "SELECT fight_url, side, last_state.first_class AS first_class, last_state.klass AS current_class, CAST(last_state.moves AS DOUBLE) AS migrations, CAST(last_state.class_n AS DOUBLE) AS fights_at_class, CAST(last_state.class_won AS DOUBLE) AS wins_at_class FROM prior_state")), *SALES)
+_r.plan("recent_form", _replayed.then(("out", lambda d: "SELECT fight_url, side, round(CASE WHEN fights >= 3 THEN last_state.won_last3 END, 6) AS true_win_pct_last3, round(CASE WHEN fights >= 5 THEN last_state.won_last5 END, 6) AS true_win_pct_last5 FROM prior_state")), *SALES)
 _r.plan("experience_state", _replayed.then(("out", lambda d: "SELECT fight_url, side, title_fights, CAST(first_title_date AS VARCHAR(10)) AS first_title_date, five_round_fights, five_round_wins FROM prior_state")), *SALES)
 _r.plan("rematch_state", _replayed.then(("out", lambda d: "SELECT fight_url, side, meeting.fight_url AS first_fight_url, CAST(meeting.day AS VARCHAR(10)) AS first_day, meeting.method AS first_method, CAST(meeting.upto AS DOUBLE) AS fights_upto FROM prior_state")), *SALES)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, report
+from ..operators import asof, report, stores
 from ..plans.bouts import FROM_SALES
 from ..plans.dialect import Duck
 from ..sources import markets
@@ -132,6 +132,60 @@ r AS (SELECT user_id, ts, max(CAST(floor(value * 100) AS BIGINT)) AS cents FROM
 SELECT l.event_id, r.cents::DOUBLE AS cents, strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS matched_at FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 
 
+def stale_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each token's last quote as of a time, its age, and whether it is over 30 minutes old."""
+    last = _books(spark, sf_dir).where(F.col("captured_at") <= F.lit(AS_OF).cast("timestamp_ntz")).groupBy("token_id").agg(F.max("captured_at").alias("t"))
+    age = F.floor((F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp(F.col("t").cast("timestamp"))) / 60)
+    return last.select("token_id", age.cast("long").alias("age_minutes"), (age > 30).alias("stale"))
+
+
+_r.add("stale_quotes", stale_quotes, f"""WITH b AS ({_BOOKS_SQL}), l AS (SELECT token_id, CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(captured_at)))) / 60) AS BIGINT) AS age FROM b WHERE captured_at <= TIMESTAMP '{AS_OF}' GROUP BY token_id)
+SELECT token_id, age AS age_minutes, age > 30 AS stale FROM l""")
+
+
+def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New signals of a run, appended to a log that has some of them already; the first of a key stays."""
+    s = _signals(spark, sf_dir).select("signal_id", "token_id", F.lit(2).alias("run"))
+    twice = s.unionByName(s.withColumn("run", F.lit(3)))
+    log = s.where("cast(token_id as int) % 4 = 0").withColumn("run", F.lit(1))
+    return log.unionByName(stores.insert_ignore(log, twice, ["signal_id"], "run"))
+
+
+_r.add("signal_log", signal_log, "SELECT 's' || CAST(event_id AS VARCHAR) AS signal_id, CAST(user_id AS VARCHAR) AS token_id, CASE WHEN user_id % 4 = 0 THEN 1 ELSE 2 END AS run FROM events WHERE event_id % 10 = 0")
+
+
+def due_diligence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each signal without one, from a stand-in for the outside service that fails on some."""
+    s = _signals(spark, sf_dir).select("signal_id", F.col("token_id").cast("int").alias("token"))
+    done = s.where("token % 4 = 0").select("signal_id")
+    return stores.pending_calls(s, done, ["signal_id"], _ask, "signal_id string, status string, reason string, verdict string")
+
+
+def _ask(row: dict) -> dict:
+    if row["token"] % 7 == 0:
+        raise RuntimeError("no answer")
+    return {"verdict": "VETO" if row["token"] % 2 else "CONFIRM"}
+
+
+_r.add("due_diligence", due_diligence, """SELECT 's' || CAST(event_id AS VARCHAR) AS signal_id, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN user_id % 7 = 0 THEN 'RuntimeError: no answer' END AS reason,
+CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 2 = 1 THEN 'VETO' ELSE 'CONFIRM' END AS verdict FROM events WHERE event_id % 10 = 0 AND user_id % 4 <> 0""")
+
+
+def unresolved_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts whose market is open, by date of the event, for review."""
+    fights, fighters, questions = _market_side(spark, sf_dir)
+    rows = report.resolve_links(fights, fighters, questions).withColumn("reviewed_by", F.lit(None).cast("string"))
+    days = FROM_SALES.then(("out", lambda d: "SELECT fight_url, CAST(event_date AS VARCHAR(10)) AS event_date FROM bouts")).run(spark, tables(spark, sf_dir, *SALES))
+    return report.unresolved(rows).join(days, "fight_url").groupBy("event_date").agg(F.count("*").alias("n"), F.min("fight_url").alias("first_fight"))
+
+
+_r.add("unresolved_by_date", unresolved_by_date, f"""{_BOUTS_SQL}, known AS (SELECT 'c' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS c FROM supplier WHERE s_suppkey % 23 <> 0),
+asked AS (SELECT a, b, min(fight_url) AS f FROM bouts GROUP BY a, b HAVING CAST(substr(min(fight_url), 2) AS BIGINT) % 5 = 0),
+held AS (SELECT least(a, b) AS x, greatest(a, b) AS y, sum(CASE WHEN CAST(substr(f, 2) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END) AS n FROM asked GROUP BY 1, 2)
+SELECT CAST(o.event_date AS VARCHAR) AS event_date, count(*) AS n, min(o.fight_url) AS first_fight FROM bouts o LEFT JOIN held h ON h.x = least(o.a, o.b) AND h.y = greatest(o.a, o.b)
+WHERE NOT (o.a IN (SELECT c FROM known) AND o.b IN (SELECT c FROM known) AND coalesce(h.n, 0) = 1) GROUP BY 1""")
+
+
 def _verdicts(d) -> str:
     return "SELECT fight_url, CASE CAST(substr(fight_url, 2) AS BIGINT) % 3 WHEN 0 THEN 'CONFIRM' WHEN 1 THEN 'QUALIFY' ELSE 'VETO' END AS verdict, CAST(substr(fight_url, 2) AS BIGINT) % 21 - 10 AS m, winner, a FROM bouts"
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ..plans import canonical
 from ..plans import quality as Q
-from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
-from ..plans.dialect import Dialect, Duck, Plan, Spark
+from ..plans.bouts import FIGHTERS_FROM_SALES
+from ..plans.dialect import Dialect, Duck, Spark
 from .base import Registry
 
 _r = Registry()
@@ -34,13 +34,13 @@ def _local(part):
     return name, lambda d: sql(_Spark() if d.name == "spark" else _Duck())
 
 
-_base = Plan((*FROM_SALES.parts, FIGHTERS_FROM_SALES, *canonical.TABLES))
+_base = (FIGHTERS_FROM_SALES, *canonical.TABLES)
 for _name, _sql in Q.invariants(TODAY).items():
-    _r.plan(f"dq_{_name}", _base.then(_local(("out", _sql))), *_SALES)
-_all = _base.then(_local(Q.all_findings(TODAY)))
-_r.plan("dq_quarantine", _all.then(Q.QUARANTINE), *_SALES)
-_r.plan("dq_era_report", _all.then(Q.era_report(LABEL_START)), *_SALES)
-_r.plan("dq_reason_counts", _all.then(("out", lambda d: "SELECT coalesce(table_name, 'all') AS table_name, coalesce(reason_code, 'all') AS reason_code, count(*) AS n FROM violations GROUP BY ROLLUP (table_name, reason_code)")), *_SALES)
+    _r.staged(f"dq_{_name}", (*_base, _local(("out", _sql))), *_SALES)
+_all = (*_base, _local(Q.all_findings(TODAY)))
+_r.staged("dq_quarantine", (*_all, Q.QUARANTINE), *_SALES)
+_r.staged("dq_era_report", (*_all, Q.era_report(LABEL_START)), *_SALES)
+_r.staged("dq_reason_counts", (*_all, ("out", lambda d: "SELECT coalesce(table_name, 'all') AS table_name, coalesce(reason_code, 'all') AS reason_code, count(*) AS n FROM violations GROUP BY ROLLUP (table_name, reason_code)")), *_SALES)
 
 
 def _kept(d: Dialect) -> str:
@@ -49,6 +49,6 @@ def _kept(d: Dialect) -> str:
 LEFT JOIN (SELECT DISTINCT row_key FROM quarantine WHERE table_name = 'fight_totals') q ON q.row_key = t.fight_url || '|' || t.fighter_url WHERE q.row_key IS NULL"""
 
 
-_r.plan("dq_quarantine_antijoin", _all.then(Q.QUARANTINE, ("out", _kept)), *_SALES)
+_r.staged("dq_quarantine_antijoin", (*_all, Q.QUARANTINE, ("out", _kept)), *_SALES)
 
 QUERIES, SQL = _r.queries, _r.sql

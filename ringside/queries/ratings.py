@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pagerank, ratings
+from ..operators.lineage import kept
 from ..plans import opponents
 from ..plans.bouts import FROM_SALES
 from ..plans.dialect import Duck
 from ..plans.replay import RECORD_ONLY
-from .base import Registry, tables
+from .base import Registry, staged, tables
 
 _r = Registry()
 SALES = ("lineitem", "orders", "customer")
@@ -77,7 +78,8 @@ SELECT (SELECT max(tick) + 1 FROM bouts)::INT AS as_of, node,
 FROM pr WHERE k = 20"""
 )
 
-_r.plan("common_opponents", FROM_SALES.then(*RECORD_ONLY, opponents.NO_QUALITY, *opponents.COMMON[:-1], ("out", opponents.COMMON[-1][1])), *SALES)
+_COMMON = (*RECORD_ONLY, opponents.NO_QUALITY, *opponents.COMMON[:-1], ("out", opponents.COMMON[-1][1]))
+_r.staged("common_opponents", _COMMON, *SALES)
 _r.add("elo", elo)
 _r.add("glicko2", glicko2)
 _r.add("pagerank_ticks", pagerank_ticks)
@@ -88,12 +90,11 @@ def emit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 13 columns of the graph family, for both sides of every bout: ratings
     before the tick, prestige at the start of the span the bout is in, and common
     opponents seen from the side."""
-    source = tables(spark, sf_dir, *SALES)
-    bouts = _bouts(spark, sf_dir)
+    bouts = kept(_bouts(spark, sf_dir))
     both = ratings.rated(bouts)
     asked = _asked(bouts, 365)
     prestige = pagerank.ranked(*pagerank.graphs(bouts, asked)).select("as_of", F.col("node").alias("fighter"), F.col("score").alias("pagerank_score"))
-    common = FROM_SALES.then(*RECORD_ONLY, opponents.NO_QUALITY, *opponents.COMMON[:-1], ("out", opponents.COMMON[-1][1])).run(spark, source)
+    common = staged(_COMMON, *SALES)(spark, sf_dir)
     spans = bouts.groupBy(F.floor(F.col("day") / 365).alias("span")).agg(F.min("tick").alias("as_of"))
     rows = bouts.select("fight_url", F.floor(F.col("day") / 365).alias("span"), F.posexplode(F.array("a", "b")).alias("side", "fighter")).join(F.broadcast(spans), "span")
     rows = rows.join(ratings.elo_of(both), ["fight_url", "fighter"], "left").join(ratings.glicko_of(both), ["fight_url", "fighter"], "left")

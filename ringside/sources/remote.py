@@ -13,6 +13,7 @@ from pathlib import Path
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import kept
 from . import html
 
 PAGE = 100
@@ -66,9 +67,7 @@ def fetched(urls: DataFrame, fetch: Callable[[str], str], column: str = "url") -
                     out.append((u, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["url", "html", "reason"])
 
-    from ..operators.pagerank import _kept
-
-    got = _kept(urls.selectExpr(f"{column} AS url").distinct().mapInPandas(run, "url string, html string, reason string"))
+    got = kept(urls.selectExpr(f"{column} AS url").distinct().mapInPandas(run, "url string, html string, reason string"))
     return got.where("reason is null").select("url", "html"), got.where("reason is not null").select("url", "reason")
 
 

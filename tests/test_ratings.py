@@ -64,7 +64,9 @@ def test_leagues_are_folded_apart(spark):
 
 def prestige(spark, rows, tick):
     nodes, edges = pagerank.graphs(bouts(spark, rows), spark.createDataFrame([(tick,)], "as_of int"))
-    return {r["node"]: r["score"] for r in pagerank.ranked(nodes, edges).collect()}
+    memory, joins = ({r["node"]: r["score"] for r in pagerank.ranked(nodes, edges, small=n).collect()} for n in (1000, -1))
+    assert memory == pytest.approx(joins)
+    return memory
 
 
 def test_pagerank_of_one_bout_and_of_isolated_nodes(spark):
