@@ -223,29 +223,50 @@ def encode(
     text_col: str = "text",
     ids_col: str = "ids",
     packed: bool = False,
+    decoded_col: str | None = None,
+    drop: tuple[str, ...] = (),
     block_chars: int = 2_000_000,
     cache_words: int = 200_000,
 ) -> DataFrame:
     """Add the ids of each text: array<int>, or with ``packed`` little-endian
     unsigned 32-bit integers as binary. ``df`` must not have ``ids_col`` yet.
 
+    ``decoded_col`` decodes the ids in the same pass; columns in ``drop`` (the
+    text, say) are not sent back, which saves memory and time.
+
     ``block_chars``: texts gathered before a replay (one longer text is a block
     by itself). ``cache_words``: pretokens whose ids a worker keeps.
     """
-    if ids_col in df.columns:
-        raise ValueError(f"there is a column {ids_col} already")
+    new = [c for c in (ids_col, decoded_col) if c]
+    if set(new) & set(df.columns):
+        raise ValueError(f"there is a column {new} already")
+    kept = [f for f in df.schema.fields if f.name not in drop]
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # under 1 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern, cache_words)
+        vocabulary = _vocabulary(shared.value) if decoded_col else {}
         for batch in batches:
             for block in _blocks(batch, text_col, block_chars):
                 ids = encoder.encode(block.column(text_col).to_pylist())
-                yield _with_column(block, ids_col, _binary_or_list(ids, packed))
+                block = _with_column(block.select([f.name for f in kept]), ids_col, _binary_or_list(ids, packed))
+                if decoded_col:
+                    back = [_joined(np.frombuffer(x, dtype="<u4").tolist(), vocabulary) for x in ids]
+                    block = _with_column(block, decoded_col, pa.array(back, type=pa.binary()))
+                yield block
             pa.default_memory_pool().release_unused()
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, kind)]))
+    more = [T.StructField(ids_col, kind)] + [T.StructField(c, T.BinaryType()) for c in new[1:]]
+    return df.mapInArrow(run, T.StructType([*kept, *more]))
+
+
+def _vocabulary(raw: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in parse_ranks(raw).items()}
+
+
+def _joined(ids: list[int], vocabulary: dict[int, bytes]) -> bytes:
+    return b"".join(map(vocabulary.__getitem__, ids))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", block_bytes: int = 2_000_000) -> DataFrame:
@@ -257,13 +278,13 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
     packed = isinstance(df.schema[ids_col].dataType, T.BinaryType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = {rank: token for token, rank in parse_ranks(shared.value).items()}
+        vocabulary = _vocabulary(shared.value)
         for batch in batches:
             for block in _blocks(batch, ids_col, block_bytes):
                 out = []
                 for x in block.column(ids_col):
                     ids = np.frombuffer(x.as_py() or b"", dtype="<u4").tolist() if packed else x.as_py() or []
-                    out.append(b"".join(map(vocabulary.__getitem__, ids)))
+                    out.append(_joined(ids, vocabulary))
                 yield _with_column(block, bytes_col, pa.array(out, type=pa.binary()))
             pa.default_memory_pool().release_unused()
 
@@ -272,8 +293,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    ids = encode(docs.select("doc_id", "text"), ranks_path, pattern, packed=True)
-    back = decode(ids.select("doc_id", "ids"), ranks_path)
+    back = encode(docs.select("doc_id", "text"), ranks_path, pattern, packed=True, decoded_col="decoded", drop=("text",))
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

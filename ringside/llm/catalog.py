@@ -44,7 +44,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat files of all documents' tokens, then their counts: file, doc_index, n_tokens."""
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("text"), *tokenizer(), packed=True).select("ids")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("text"), *tokenizer(), packed=True, drop=("text",))
     blocks = tokenscan.written_blocks(ids, SEPARATOR)
     return tokenscan.token_counts(blocks, SEPARATOR)
 

@@ -49,6 +49,8 @@ def test_encode_and_decode(spark):
     back = bpe.decode(ids, PATH, block_bytes=64).orderBy("doc_id").collect()
     assert [r.ids for r in back] == [expected(t) for t in [*TEXTS, TEXTS[5]]]
     assert [bytes(r.decoded).decode() for r in back] == [t or "" for t in [*TEXTS, TEXTS[5]]] and back[0].extra == "x"
+    once = bpe.encode(df, PATH, PATTERN, packed=True, decoded_col="decoded", drop=("text",))
+    assert once.columns == ["doc_id", "extra", "ids", "decoded"] and [bytes(r.decoded) for r in once.orderBy("doc_id").collect()] == [bytes(r.decoded) for r in back]
     for clash in ("ids", "decoded"):
         with pytest.raises(ValueError, match=clash):
             bpe.decode(bpe.encode(df.withColumn(clash, F.lit(1)), PATH, PATTERN), PATH)
