@@ -22,10 +22,15 @@ TOTALS_COLUMNS = (
 )
 
 
-def duration(d: Dialect) -> str:
-    """Minutes fought: five for each full round, then the ending time."""
+def seconds(d: Dialect) -> str:
+    """Seconds fought: 300 for each full round, then the ending time. Whole
+    numbers, so that sums and variances over them are exact."""
     m, s = d.try_int("split_part(ending_time, ':', 1)"), d.try_int("split_part(ending_time, ':', 2)")
-    return f"((ending_round - 1) * CAST(5 AS DOUBLE) + {m} + coalesce({s}, 0) / CAST(60 AS DOUBLE))"
+    return f"CAST((ending_round - 1) * 300 + {m} * 60 + coalesce({s}, 0) AS BIGINT)"
+
+
+def _timed(d: Dialect) -> str:
+    return f"{seconds(d)} AS seconds, {seconds(d)} / CAST(60 AS DOUBLE) AS minutes"
 
 
 def _lines(d: Dialect) -> str:
@@ -87,7 +92,7 @@ def _day(d: Dialect, column: str = "event_date") -> str:
 
 def _sales_bouts(d: Dialect) -> str:
     """An event is a date here, so the day itself orders the events."""
-    return f"SELECT *, CAST({_day(d)} AS INT) AS tick, {_day(d)} AS day, {duration(d)} AS minutes FROM raw_bouts"
+    return f"SELECT *, CAST({_day(d)} AS INT) AS tick, {_day(d)} AS day, {_timed(d)} FROM raw_bouts"
 
 
 FROM_SALES = Plan((("lines", _lines), ("pairs", _pairs), ("raw_bouts", _raw), ("bouts", _sales_bouts)))
@@ -108,7 +113,7 @@ def _numbered(d: Dialect) -> str:
 
 
 def _table_bouts(d: Dialect) -> str:
-    return f"SELECT r.*, t.tick, {_day(d)} AS day, {duration(d)} AS minutes FROM raw_bouts r JOIN ticks t ON r.event_url = t.event_url"
+    return f"SELECT r.*, t.tick, {_day(d)} AS day, {_timed(d)} FROM raw_bouts r JOIN ticks t ON r.event_url = t.event_url"
 
 
 FROM_TABLES = Plan((("raw_bouts", _joined), ("ticks", _numbered), ("bouts", _table_bouts)))

@@ -121,7 +121,7 @@ def finishing(d: Dialect) -> dict[str, str]:
         "finish_rate": rate("(ko_wins + submission_wins)"), "ko_rate": rate("ko_wins"), "submission_rate": rate("submission_wins"),
         "early_finish_rate": rate("round_one_finishes"), "has_ever_been_finished": flag(f"{stopped} > 0"),
         "times_finished_by_ko": dbl("finished_by_ko"), "times_finished_by_sub": dbl("finished_by_sub"), "has_been_finished_r1": flag("finished_round_one > 0"),
-        "never_been_finished": flag(f"{stopped} = 0"), "avg_fight_duration_sec": "rolling.avg_minutes * 60", "fight_duration_variance": "rolling.var_minutes * 3600",
+        "never_been_finished": flag(f"{stopped} = 0"), "avg_fight_duration_sec": "rolling.avg_seconds", "fight_duration_variance": "rolling.var_seconds",
         "never_been_finished_x_opp_finish_rate": f"CASE WHEN {stopped} = 0 THEN {OPP_FINISH} ELSE {dbl('0')} END",
     }
 
@@ -200,7 +200,7 @@ def matchup(d: Dialect) -> dict[str, str]:
     grappler = lambda g: f"coalesce({g('td_per_15min')} >= 3, FALSE)"
     pressure = lambda g: f"coalesce({g('sig_strikes_per_min')} >= 5, FALSE)"
     counter = lambda g: f"coalesce({g('damage_ratio')} >= 1.5 AND {g('sig_strikes_per_min')} < 4, FALSE)"
-    var_f, var_o = "rolling.var_minutes * 3600", "opp.rolling.var_minutes * 3600"
+    var_f, var_o = "rolling.var_seconds", "opp.rolling.var_seconds"
     none = "CAST(NULL AS DOUBLE)"
     return {
         "reach_delta": "reach_cm - o_reach_cm", "height_delta": "height_cm - o_height_cm", "age_delta": f"{whole_age('dob')} - {whole_age('o_dob')}",
@@ -210,7 +210,7 @@ def matchup(d: Dialect) -> dict[str, str]:
         "finish_rate_delta": f"{ratio('(ko_wins + submission_wins)', 'wins')} - {ratio('(opp.ko_wins + opp.submission_wins)', 'opp.wins')}",
         "five_round_experience_delta": none, "ufc_experience_delta": f"CASE WHEN fights > 0 AND opp.fights > 0 THEN {dbl('fights - opp.fights')} END",
         "title_fight_exp_delta": none, "striking_efficiency_delta": delta("striking_accuracy_pct"), "td_accuracy_delta": delta("td_accuracy_pct"),
-        "damage_ratio_delta": delta("damage_ratio"), "avg_fight_duration_delta": "(rolling.avg_minutes - opp.rolling.avg_minutes) * 60",
+        "damage_ratio_delta": delta("damage_ratio"), "avg_fight_duration_delta": "rolling.avg_seconds - opp.rolling.avg_seconds",
         "fight_duration_variance_delta": f"{var_f} - {var_o}", "wrestler_score_a": wf, "wrestler_score_b": wo, "submission_score_a": sub_f, "submission_score_b": sub_o,
         "wrestling_delta": f"{wf} - {wo}", "submission_delta": f"{sub_f} - {sub_o}",
         "grappling_type_mismatch": f"CASE WHEN {wf} IS NULL OR {wo} IS NULL OR {sub_f} IS NULL OR {sub_o} IS NULL THEN NULL ELSE "
@@ -227,6 +227,14 @@ FAMILIES = {
 }
 #: Columns that are texts; all others are doubles, rounded in query results.
 TEXTS = {"stance", "weight_class", "stance_matchup", "first_meeting_method"}
+#: A product of large factors: it is shown with three digits less.
+COARSE = {"pace_mismatch_score"}
+
+
+def _shown(name: str, sql: str, digits: int | None) -> str:
+    if name in TEXTS or digits is None:
+        return f"{sql} AS {name}"
+    return f"round({sql}, {digits - 3 if name in COARSE else digits}) AS {name}"
 
 
 def family_part(name: str, digits: int | None = None) -> Part:
@@ -234,7 +242,7 @@ def family_part(name: str, digits: int | None = None) -> Part:
 
     def sql(d: Dialect) -> str:
         cols = FAMILIES[name](d)
-        shown = [f"{c if n in TEXTS or digits is None else f'round({c}, {digits})'} AS {n}" for n, c in cols.items()]
+        shown = [_shown(n, c, digits) for n, c in cols.items()]
         return f"SELECT fight_url, side, {columns(shown)} FROM framed"
 
     return name, sql
@@ -244,7 +252,7 @@ def wide_part(digits: int | None = None) -> Part:
     def sql(d: Dialect) -> str:
         shown = []
         for family in FAMILIES.values():
-            shown += [f"{c if n in TEXTS or digits is None else f'round({c}, {digits})'} AS {n}" for n, c in family(d).items()]
+            shown += [_shown(n, c, digits) for n, c in family(d).items()]
         return f"SELECT fight_url, event_url, CAST(event_date AS VARCHAR(10)) AS event_date, side, fighter, opponent, {columns(shown)} FROM framed"
 
     return "wide", sql

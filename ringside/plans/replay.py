@@ -36,7 +36,7 @@ def _sides(d: Dialect) -> str:
     pick = lambda c: f"CASE WHEN side = 0 THEN a_{c} ELSE b_{c} END AS o_{c}, CASE WHEN side = 0 THEN b_{c} ELSE a_{c} END AS p_{c}"
     return f"""SELECT fight_url, event_url, event_date, tick, day, side,
   CASE WHEN side = 0 THEN a ELSE b END AS fighter, CASE WHEN side = 0 THEN b ELSE a END AS opponent,
-  winner, method, upper(method) AS m, ending_round, time_format, weight_class, bout_order, minutes, has,
+  winner, method, upper(method) AS m, ending_round, time_format, weight_class, bout_order, seconds, minutes, has,
   {columns(pick(c) for c in STATS)}
 FROM bouts {d.sides('side')}"""
 
@@ -76,8 +76,9 @@ def _rolled(d: Dialect) -> str:
     avgs = [f"avg(r_{r}) OVER roll AS avg_{r}" for r in RATES]
     variances = [f"CASE WHEN count(r_{r}) OVER roll >= 2 THEN var_pop(r_{r}) OVER roll END AS var_{r}" for r in VARIED]
     return f"""SELECT *, {columns(avgs, variances)},
-  avg(minutes) OVER roll AS avg_minutes,
-  CASE WHEN count(*) OVER roll >= 3 THEN var_pop(minutes) OVER roll END AS var_minutes,
+  CAST(sum(seconds) OVER roll AS DOUBLE) / nullif(count(seconds) OVER roll, 0) AS avg_seconds,
+  CASE WHEN count(*) OVER roll >= 3 THEN CAST(count(seconds) OVER roll * sum(seconds * seconds) OVER roll - sum(seconds) OVER roll * sum(seconds) OVER roll AS DOUBLE)
+    / nullif(count(seconds) OVER roll * count(seconds) OVER roll, 0) END AS var_seconds,
   avg(CAST(o_td_a + o_ctrl AS DOUBLE)) OVER roll AS avg_grapple,
   coalesce(max(CASE WHEN won = 1 THEN decided END) OVER {seq}, 0) AS win_at,
   coalesce(max(CASE WHEN lost = 1 THEN decided END) OVER {seq}, 0) AS loss_at,
@@ -106,7 +107,7 @@ def _prior(d: Dialect) -> str:
     )
     rolling = d.pack(
         tick="tick", fight_url="fight_url", **{f"avg_{r}": f"avg_{r}" for r in RATES}, **{f"var_{r}": f"var_{r}" for r in VARIED},
-        avg_minutes="avg_minutes", var_minutes="var_minutes", avg_grapple="avg_grapple",
+        avg_seconds="avg_seconds", var_seconds="var_seconds", avg_grapple="avg_grapple",
     )
     meeting = d.pack(tick="tick", fight_url="fight_url", day="event_date", winner="winner", method="method", round="ending_round", upto="n_upto_day")
     within = lambda days: f"CAST(coalesce(sum(1) OVER prior, 0) - coalesce(sum(1) OVER (PARTITION BY fighter ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND {days} PRECEDING), 0) AS BIGINT)"
