@@ -14,19 +14,37 @@ FIGHT_TIME = "FIGHT_TIME"
 QUOTES = ("mid_price", "best_bid", "best_ask", "best_bid_size", "best_ask_size")
 
 
+#: Leading characters of a name that a question is searched for by equality.
+LEAD = 8
+
+
+def _holding(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(token_id, fighter_url) of every question q that holds a canonical name,
+    wherever it begins.
+
+    A name's first LEAD characters (all, if fewer) meet the question's pieces of
+    that length by equality, so no question is compared with every name; what
+    meets is then checked in full."""
+    lead = F.least(F.lit(LEAD), F.length("canonical"))
+    keyed = names.select("fighter_url", "canonical", F.substring(F.col("canonical"), F.lit(1), lead).alias("piece"))
+    sized = asked.select("token_id", "q", F.explode(F.sequence(F.lit(1), F.lit(LEAD))).alias("n")).where(F.length("q") >= F.col("n"))
+    pieces = sized.select("token_id", "q", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(q) - n + 1), i -> substring(q, i, n))"))).alias("piece"))
+    return pieces.join(keyed, "piece").where(F.contains(F.col("q"), F.col("canonical"))).select("token_id", "fighter_url").distinct()
+
+
 def resolve_links(fights: DataFrame, fighters: DataFrame, questions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """fight_url, token_id, match_status, match_method, candidate_count.
 
     A market is a candidate where its lower-cased question holds both canonical
-    names. Names are first found in questions (dimension against dimension), and
-    bouts then meet their markets by equality on both contestants. Existing links
+    names. Names are first found in questions, by equality of pieces, and bouts then
+    meet their markets by equality on both contestants. Existing links
     stay. Without any question every bout is MISSING_SNAPSHOT; without a name on
     file INVALID_INPUT, and so is an empty canonical name, which every question
     would hold. Of several candidates the least token is shown.
     """
     names = fighters.select(F.col("fighter_url"), normalize_name(F.col("name")).alias("canonical")).where("canonical <> ''")
     asked = questions.where("question is not null").select("token_id", F.lower("question").alias("q")).distinct()
-    held = asked.join(names, F.contains(asked["q"], names["canonical"])).select("token_id", "fighter_url")
+    held = _holding(asked, names)
     a = held.select("token_id", F.col("fighter_url").alias("fighter_a_url"))
     b = held.select("token_id", F.col("fighter_url").alias("fighter_b_url"))
     pairs = a.join(b, "token_id")  # a question holds a few names

@@ -44,8 +44,10 @@ def capture(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         fresh = tagged.where(~bad).withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("mid"))).where("_n = 1").drop("_n")
         conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(f"{out}/good")
         fs = path.getFileSystem(conf)
-        if fs.exists(path):
-            old = spark.read.parquet(f"{out}/good").where(F.col("batch") != batch_id)
+        span = fresh.agg(F.min("captured_at"), F.max("captured_at")).first()
+        if span[0] is not None and fs.exists(path):
+            # only what was captured in the batch's span can be there already
+            old = spark.read.parquet(f"{out}/good").where((F.col("batch") != batch_id) & F.col("captured_at").between(*span))
             fresh = fresh.join(old.select(*KEYS), KEYS, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out}/good/batch={batch_id}")
         tagged.unpersist()
