@@ -98,7 +98,7 @@ def train(labelled: DataFrame, max_docs: int = 8_000, max_words: int = 20_000, m
 class Scorer:
     """Scores texts; keeps the vectors of up to ``cache_words`` unseen words."""
 
-    def __init__(self, model: Model, cache_words: int = 400_000):
+    def __init__(self, model: Model, cache_words: int = 100_000):
         self.model, self.cache_words = model, cache_words
         self.unseen: dict[str, np.ndarray] = {}
 
