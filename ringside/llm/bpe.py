@@ -225,8 +225,8 @@ def encode(
     packed: bool = False,
     decoded_col: str | None = None,
     drop: tuple[str, ...] = (),
-    block_chars: int = 2_000_000,
-    cache_words: int = 200_000,
+    block_chars: int = 3_000_000,
+    cache_words: int = 300_000,
 ) -> DataFrame:
     """Add the ids of each text: array<int>, or with ``packed`` little-endian
     unsigned 32-bit integers as binary. ``df`` must not have ``ids_col`` yet.
