@@ -139,6 +139,12 @@ class Plan:
         return spark.sql(text, **{k: v for k, v in tables.items() if "{" + k + "}" in text})
 
 
+def difference(sql: str, digits: int) -> str:
+    """A rounded difference without a negative zero."""
+    r = f"round({sql}, {digits})"
+    return f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END"
+
+
 def columns(*items: str | Iterable[str]) -> str:
     """A select list from single columns and lists of them."""
     flat: list[str] = []

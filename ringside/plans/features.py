@@ -8,7 +8,7 @@ win) are written out. Ratings come from ``operators.ratings`` and are joined.
 
 from __future__ import annotations
 
-from .dialect import Dialect, Part, columns
+from .dialect import Dialect, Part, columns, difference
 from .replay import RATES
 
 #: Weight classes from light to heavy. Fixed values.
@@ -234,7 +234,8 @@ COARSE = {"pace_mismatch_score"}
 def _shown(name: str, sql: str, digits: int | None) -> str:
     if name in TEXTS or digits is None:
         return f"{sql} AS {name}"
-    return f"round({sql}, {digits - 3 if name in COARSE else digits}) AS {name}"
+    digits = digits - 3 if name in COARSE else digits
+    return f"{difference(sql, digits) if name in COARSE or 'delta' in name else f'round({sql}, {digits})'} AS {name}"
 
 
 def family_part(name: str, digits: int | None = None) -> Part:

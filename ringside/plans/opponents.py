@@ -10,7 +10,7 @@ earlier bouts against the shared set. Quality comes from an injected snapshot
 
 from __future__ import annotations
 
-from .dialect import Dialect, Part
+from .dialect import Dialect, Part, difference
 
 YEARS, DECAY = 3, 0.4
 
@@ -38,7 +38,7 @@ def _common(d: Dialect) -> str:
     score = lambda s: f"sum(weight * coalesce(won_{s} / nullif(CAST(decided_{s} AS DOUBLE), 0), 0))"
     rate = lambda s: f"coalesce(sum(won_{s}) / nullif(CAST(sum(decided_{s}) AS DOUBLE), 0), 0)"
     return f"""SELECT b.fight_url, CAST(coalesce(n, 0) AS INT) AS n_common_opponents, round(sa, 6) AS common_opp_score_a, round(sb, 6) AS common_opp_score_b,
-  round(sa - sb, 6) AS common_opp_score_delta, round(ra, 6) AS common_opp_a_win_rate, round(rb, 6) AS common_opp_b_win_rate
+  {difference('sa - sb', 6)} AS common_opp_score_delta, round(ra, 6) AS common_opp_a_win_rate, round(rb, 6) AS common_opp_b_win_rate
 FROM bouts b LEFT JOIN (SELECT fight_url, count(*) AS n, {score('a')} AS sa, {score('b')} AS sb, {rate('a')} AS ra, {rate('b')} AS rb FROM shared GROUP BY fight_url) s
 ON b.fight_url = s.fight_url"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans import features as F
 from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
-from ..plans.dialect import Dialect, Plan, columns
+from ..plans.dialect import Dialect, Plan, columns, difference
 from ..plans.replay import RATES, RECORD_ONLY, REPLAY, SUMS, VARIED
 from .base import Registry
 
@@ -55,8 +55,8 @@ _r.plan("fight_pivot", _framed.then(F.wide_part(6), ("out", _pivoted)), *SALES,
 def _card_position(d: Dialect) -> str:
     """Averages over the contestant's earlier bouts by their place on the card:
     the five highest bout orders against the rest (ties: the earlier bout)."""
-    return """SELECT fight_url, side, n, round(main_sig, 6) AS sig_strikes_main_card_avg, round(prelim_sig, 6) AS sig_strikes_prelim_avg,
-  round(main_td, 6) AS td_rate_main_card_avg, round(prelim_td, 6) AS td_rate_prelim_avg, round(main_gr - prelim_gr, 6) AS grappling_abandonment_delta,
+    return f"""SELECT fight_url, side, n, round(main_sig, 6) AS sig_strikes_main_card_avg, round(prelim_sig, 6) AS sig_strikes_prelim_avg,
+  round(main_td, 6) AS td_rate_main_card_avg, round(prelim_td, 6) AS td_rate_prelim_avg, {difference('main_gr - prelim_gr', 6)} AS grappling_abandonment_delta,
   round(CASE WHEN n >= 3 THEN (main_sig - prelim_sig) * (main_sig - prelim_sig) / 4 END, 6) AS output_variance_by_position
 FROM (SELECT fight_url, side, count(past) AS n,
   avg(CASE WHEN place <= 5 THEN sig END) AS main_sig, avg(CASE WHEN place > 5 THEN sig END) AS prelim_sig,
