@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import near
 from .common import checkpointed
 
 SHINGLE = 3
@@ -144,11 +145,28 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest
-    doc_id (a row with an id before one without; repeated ids by text hash)."""
-    kept = near_duplicates(docs, radius).where("th <=> keep_th and doc_id <=> component_id")
-    kept = kept.select(F.xxhash64("doc_id", "th").alias("_rs_k"), F.col("th").alias("_rs_th")).distinct()
+def _leads(one: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``one`` (a row for each text) that stay: those without a
+    link, and of each component the one that comes first."""
+    star = components(edges)
+    linked = one.join(star, one.th == star.node).select("root", "first")
+    lead = linked.groupBy("root").agg(F.min("first").alias("lead")).select(F.col("lead.th").alias("th"))
+    gone = star.select(F.col("node").alias("th")).join(lead, "th", "left_anti")
+    return checkpointed(one.join(gone, "th", "left_anti"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates (5-word shingles, likeness 0.8
+    or more; see ``near``): the one with the smallest doc_id (a row with an id
+    before one without; repeated ids by text hash)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("first")
+    one = checkpointed(near.banded(docs).groupBy("th").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")))
+    points = near.crowded(one)
+    sets = near.sets_of(docs, one, points)
+    one = _leads(one, near.verified(sets, near.with_least(points)))
+    sets = sets.join(one, "th", "left_semi")
+    one = _leads(one, near.verified(sets, near.with_all(sets)))
+    kept = one.select(F.xxhash64("first.doc_id", "th").alias("_rs_k"), F.col("th").alias("_rs_th"))
     # keys without nulls: rows are dealt once, for the join and for repeated rows
     rows = docs.withColumn("_rs_th", F.xxhash64("text")).withColumn("_rs_k", F.xxhash64(F.col("doc_id").cast("long"), "_rs_th"))
     return rows.join(kept, ["_rs_k", "_rs_th"], "left_semi").dropDuplicates(["_rs_k", "_rs_th"]).select(*docs.columns)

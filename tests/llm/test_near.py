@@ -122,3 +122,28 @@ def test_insert_and_delete(spark):
     both = spark.createDataFrame([(v[0], v[1], v[2])], "w array<long>, a array<long>, b array<long>")
     r = both.select(fingerprint.as_text(F.col("w")).alias("w"), fingerprint.as_text(fingerprint.insert(F.col("a"), F.col("b"))).alias("i"), fingerprint.delete(F.col("w"), F.col("b")).alias("d")).first()
     assert r.w == r.i and r.d == v[1]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_at_a_likeness_of_08_go(spark):
+    """Copies with scattered changes, far more than 2 bits apart."""
+    rng = random.Random(7)
+    texts = []
+    for n in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 700]))]
+        texts.append(" ".join(base))
+        for share in (0.01, 0.02, 0.03, 0.06):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, int(share * len(base)))):
+                copy[at] = f"changed{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    alike = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, i - i % 5 + 5)}
+    far = [p for p, v in alike.items() if 0.8 <= v < 1 and (plain_fp(texts[p[0]]) ^ plain_fp(texts[p[1]])).bit_count() > 2]
+    kept = {r.doc_id for r in simhash.deduplicated(docs(spark, texts)).collect()}
+    assert len(far) > 30 and not any(i in kept and j in kept for i, j in alike if alike[i, j] >= 0.8)
+    groups = {i: {j for p, v in alike.items() if v >= 0.8 and i in p for j in p} for i in range(len(texts))}
+    assert all(i in kept or groups[i] for i in range(len(texts))) and all(i in kept for i in groups if not groups[i])
