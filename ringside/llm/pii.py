@@ -1,7 +1,9 @@
 """Personal data: pattern spans, and terms that give protected values away.
 
 Base spans are found by pattern (email, ip, card, phone). The distinct values
-found are the protected entities. How strongly a term reveals an entity is
+found are the protected entities, and so are their groups (email domain, first
+half of an ip, card issuer, start of a phone number) and kinds, by which values
+too rare to be measured alone are measured together. How strongly a term reveals an entity is
 measured on the corpus: with document counts over all rows, the pointwise
 mutual information of term and entity is compared with the information of the
 entity itself, log2(N / df(entity)). The quotient is 1 where the term occurs in
@@ -38,7 +40,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
-WORD = r"[\p{L}\p{N}]{3,}+"
+WORD = r"[\p{L}\p{N}]++"
 SUPPORT = 3
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.999
@@ -119,11 +121,23 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return rows.withColumn("blanked", F.when(F.size("base") > 0, blank).otherwise(F.col("text")))
 
 
+def _levels(span: Column) -> Column:
+    """The entities a value stands for: itself, its group (email domain, first
+    half of an ip, card issuer, start of a phone number) and its kind."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    group = (
+        F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit(" group:"), group), F.concat(kind, F.lit(" any")))
+
+
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """th and its disclosing ``terms`` (array of term, remove), for the texts that have any."""
     rows = _prepared(docs)
     held = rows.where(F.size("base") > 0)
-    keys = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    keys = F.array_distinct(F.flatten(F.transform("base", _levels)))
     by_text = held.select("th", F.explode(keys).alias("entity")).groupBy("entity", "th").agg(F.count("*").alias("copies"))
     by_text = checkpointed(by_text)  # a row for each value and text: small beside the texts
     # written out: a join on a value that a third of all texts hold can then be split

@@ -102,3 +102,22 @@ def test_rewriting_keeps_columns_and_nulls(spark):
     assert got[0].text is None and got[1].text == "mail [EMAIL] now [IP]" and got[2].text == "fine"
     assert set(got[1].asDict()) == {"doc_id", "text", "base", "_th"} and got[1].base == "e"
     assert pii.digests(df.limit(0)).count() == 0 and pii.sanitised(df.limit(0)).count() == 0
+
+
+def shown_terms(spark, texts):
+    rows = {r.doc_id: r.spans for r in pii.digests(docs(spark, texts)).collect()}
+    return [[texts[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in rows[i].split(",") if x) if k == "term"] for i in range(len(texts))]
+
+
+def test_rare_values_are_measured_by_group_and_kind(spark):
+    """Every value in one text only: their domain or kind gives the terms."""
+    plain_texts = [f"plain{i} common words here" for i in range(60)]
+    domain = [f"report{i} common quux p{i}@corp.example.com" for i in range(4)]
+    kind = [f"call{i} common zork {10 + i}.{20 + i}.3.4" for i in range(4)]
+    shown = shown_terms(spark, [*domain, *kind, *plain_texts])
+    assert all(s == ["quux"] for s in shown[:4]) and all(s == ["zork"] for s in shown[4:8]) and not any(shown[8:])
+
+
+def test_short_words_are_terms(spark):
+    texts = [*[f"report{i} common ab p{i}@corp.example.com" for i in range(4)], *[f"plain{i} common" for i in range(40)]]
+    assert all(s == ["ab"] for s in shown_terms(spark, texts)[:4])
