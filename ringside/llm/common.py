@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,18 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all machines share.
+
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset and
+    all tasks run on this machine (tests) a temporary one is made."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ringside-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut lineage with a checkpoint in shared storage.
 
     ``rows``: about how many rows are expected; so few files are written for
     small tables, and as many as needed for large ones.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ringside-ckpt-"))
+    shared_folder(df.sparkSession)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
@@ -37,6 +48,41 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+BLOCK = 64
+
+
+def in_blocks(items: Column, size: int = BLOCK) -> Column:
+    """An array cut into arrays of ``size`` items (none for an empty one)."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i * size + 1, size))
+
+
+def placed(items: Column, width: Callable[[Column], Column]) -> Column:
+    """Each item with ``at``, the sum of the widths before it: array of struct
+    (at, item). Sums are taken in blocks and over blocks, so a long array isn't
+    copied for each of its items."""
+
+    def of_block(block: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.slice(F.transform(block, lambda x: F.struct(start.alias("at"), x.alias("item"))), 1, 0).alias("out"))
+        step = lambda acc, x: F.struct(
+            (acc["at"] + width(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("item")))).alias("out")
+        )
+        return F.aggregate(block, none, step, lambda acc: acc["out"])
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + width(x)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, of_block))
+
+    return bound(items, lambda it: bound(in_blocks(it), of_blocks))
+
+
 def global_next(df: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
     """Add ``next``: a struct of ``carry`` from the row that follows in the
     global order; the row after the last is the first (a single row follows

@@ -22,7 +22,9 @@ Defined results: null text counts as empty; a text without words has an
 all-zero fingerprint, and two of them are alike (1); the document after the last
 is the first, and one document alone follows itself; repeated rows (same doc_id
 and text) are one document and each get its result; a null doc_id comes first,
-and rows of one doc_id are ordered by a hash of their text.
+and rows of one doc_id are ordered by a hash of their text; a very long text is
+hashed whole, its features summed in chunks of 2^20; an empty table gives an
+empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_next, text_or_empty
+from .common import bound, global_next, text_or_empty
 
 SEEDS = 4
 SHINGLE = 3
@@ -42,11 +44,6 @@ _LOW = (1 << 32) - 1
 _CHUNK = 20  # a sum takes at most 2^20 features, so that no 21-bit lane runs over
 
 
-def _bind(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def features(text: Column) -> Column:
     """struct(m, all): the first m hashes are the paragraphs' (SEEDS each), the rest the shingles'."""
     paragraphs = F.filter(F.split(text, "\n"), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
@@ -56,13 +53,13 @@ def features(text: Column) -> Column:
         several = lambda w: F.transform(
             F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])
         )
-        return _bind(words, lambda w: F.when(F.size(w) > SHINGLE, several(w)).otherwise(F.array(F.xxhash64(F.array_join(w, " ")))))
+        return bound(words, lambda w: F.when(F.size(w) > SHINGLE, several(w)).otherwise(F.array(F.xxhash64(F.array_join(w, " ")))))
 
     def both(ps: Column) -> Column:
         whole = F.flatten(F.transform(ps, lambda p: F.array(*[F.xxhash64(F.lit(s), p) for s in range(SEEDS)])))
         return F.struct((F.size(ps) * SEEDS).alias("m"), F.concat(whole, F.flatten(F.transform(ps, shingles))).alias("all"))
 
-    return _bind(paragraphs, both)
+    return bound(paragraphs, both)
 
 
 def vectors(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -109,15 +106,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), near)), same))
 
 
+def _reduced(lanes: Column) -> Column:
+    """Each lane modulo its power of two, as ``vectors`` gives them."""
+    masks = F.array(*[F.lit(_LOW)] * (2 * SEEDS), *[F.lit((1 << 62) - 1)] * (1 + LANES))
+    return F.zip_with(lanes, masks, lambda x, m: x.bitwiseAND(m))
+
+
 def insert(lanes: Column, paragraph: Column) -> Column:
     """Lanes after a paragraph with these lanes is added."""
-    return F.zip_with(lanes, paragraph, lambda x, y: x + y)
+    return _reduced(F.zip_with(lanes, paragraph, lambda x, y: x + y))
 
 
 def delete(lanes: Column, paragraph: Column) -> Column:
     """Lanes after a paragraph with these lanes is taken away."""
-    masks = F.array(*[F.lit(_LOW)] * (2 * SEEDS), *[F.lit((1 << 62) - 1)] * (1 + LANES))
-    return F.zip_with(F.zip_with(lanes, paragraph, lambda x, y: x - y), masks, lambda x, m: x.bitwiseAND(m))
+    return _reduced(F.zip_with(lanes, paragraph, lambda x, y: x - y))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:

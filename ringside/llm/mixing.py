@@ -14,7 +14,10 @@ functions are used.
 
 Defined results: null text has size 0; a null source is a source of its own,
 ordered last; a source of size 0 has target 0; repeated rows are sampled apart;
-empty input gives an empty result.
+documents of one size go by doc_id, then by a hash of the text; a very long text
+is one document and taken whole; empty input gives an empty result; ``mixed``
+keeps all columns and reserves names that begin with ``_rs_``. Prefix sums are
+64-bit: a source holds up to 2^38 documents.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from .common import checkpointed, text_or_empty
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-UNIT = 1 << 24
+UNIT_BITS = 24
+UNIT = 1 << UNIT_BITS
 SEED = "mix"
 
 
@@ -83,7 +87,8 @@ def copies(sizes: DataFrame, goal: DataFrame, seed: str = SEED) -> DataFrame:
     rows = dealt.join(parts, (dealt["part"] == parts["_part"]) & dealt["source"].eqNullSafe(parts["_source"]))
     upto = Window.partitionBy("part", "source").orderBy("size", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("expected").over(upto) + F.col("base"))
-    crossed = F.floor(F.col("upto") / F.lit(UNIT)) - F.floor((F.col("upto") - F.col("expected")) / F.lit(UNIT))
+    # shifted, not divided: sums over 2^53 would be rounded as doubles
+    crossed = F.shiftright("upto", UNIT_BITS) - F.shiftright(F.col("upto") - F.col("expected"), UNIT_BITS)
     return rows.select("doc_id", "th", "source", "size", "source_size", "target", crossed.cast("long").alias("n_copies"))
 
 
