@@ -50,29 +50,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 SQL["op10_chat"] = r"""
 WITH t AS (
-  SELECT conv_id, coalesce(floor(turn / 256.0::DOUBLE)::BIGINT, -1) AS part, turn,
-    CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS role, replace(coalesce(text, ''), '<|', '< |') AS body, coalesce(text, '') AS raw
+  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS role,
+    replace(coalesce(text, ''), '<|', '< |') AS body, coalesce(text, '') AS raw
   FROM conversations
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw) - 1 AS no FROM t
 ), s AS (
-  SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE role <> 'system'
+  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), p AS (
-  SELECT s.conv_id, s.part, s.speaker, t.role = s.speaker AS own, t.body,
-    '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = s.speaker THEN 'assistant' ELSE 'user name=' || replace(t.role, '<|', '< |') END || chr(10) AS head,
-    row_number() OVER (PARTITION BY s.conv_id, s.part, s.speaker ORDER BY t.turn NULLS FIRST, t.role, t.raw) AS n
-  FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part = t.part
+  SELECT s.conv_id, s.speaker, o.no, o.role = s.speaker AS own, o.body,
+    '<|im_start|>' || CASE WHEN o.role = 'system' THEN 'system' WHEN o.role = s.speaker THEN 'assistant' ELSE 'user name=' || replace(o.role, '<|', '< |') END || chr(10) AS head
+  FROM s JOIN o ON s.conv_id IS NOT DISTINCT FROM o.conv_id
 ), q AS (
   SELECT *, head || body || '<|im_end|>' || chr(10) AS piece FROM p
 ), m AS (
-  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, part, speaker ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS begins FROM q
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM q
 )
-SELECT conv_id, part, speaker, count(*) AS n_turns, sum(length(piece))::BIGINT AS n_chars, sha256(string_agg(piece, '' ORDER BY n)) AS text_sha256,
-  coalesce(string_agg(CASE WHEN own THEN begins || ':' || (begins + length(body)) END, ',' ORDER BY n), '') AS mask
-FROM m GROUP BY conv_id, part, speaker
+SELECT conv_id, speaker, (no // 256)::BIGINT AS chunk, count(*) AS n_turns, min(at) AS first_char, sum(length(piece))::BIGINT AS n_chars, sha256(string_agg(piece, '' ORDER BY no)) AS text_sha256,
+  coalesce(string_agg(CASE WHEN own THEN (at + length(head)) || ':' || (at + length(head) + length(body)) END, ',' ORDER BY no), '') AS mask
+FROM m GROUP BY conv_id, speaker, no // 256
 """
 
 
-def _url_sql(max_depth: int = 4) -> str:
-    """The template tree, level by level, as for ``urls.judged``'s defaults."""
+def _url_sql(levels: int = 6) -> str:
+    """The template tree, level by level, as for ``urls.judged``'s defaults; for
+    paths of up to ``levels`` segments (the query itself knows no such bound)."""
     rate = "(b + 2.0::DOUBLE * prior) / (l + 2.0::DOUBLE)"
     parts = [r"""u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -91,22 +93,31 @@ def _url_sql(max_depth: int = 4) -> str:
 )""", r"""paths AS (
   SELECT host, first, count(*) AS n, sum((rule IS NOT NULL)::INT) AS labelled, sum(coalesce(rule IN ('example.org/en/1', 'example.org/es/', 'com/de/'), FALSE)::INT) AS blocked FROM v GROUP BY host, first
 )""", "pr AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled)::DOUBLE, 0), 0) AS prior FROM paths)", "r0 AS (SELECT *, string_split(first, '/') AS todo, '' AS made FROM paths)"]
-    for i in range(max_depth):
+    for i in range(levels):
         parts += [
-            f"s{i} AS (SELECT *, coalesce(todo[1], '') AS seg, CASE WHEN len(todo) > 1 THEN array_to_string(todo[2:], '/') ELSE '' END AS then_ FROM r{i})",
+            f"s{i} AS (SELECT *, todo[1] AS seg, array_to_string(todo[2:], '/') AS then_ FROM r{i} WHERE len(todo) > 0)",
             f"c{i} AS (SELECT host, made, seg, sum(n) AS n, sum(l) AS l, sum(b) AS b, max({{'n': n, 't': then_}}).t AS cont FROM (SELECT host, made, seg, then_, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS l, sum(blocked)::BIGINT AS b FROM s{i} GROUP BY ALL) x GROUP BY host, made, seg)",
             f"d{i} AS (SELECT c.*, floor({rate} * 5) AS rate FROM c{i} c, pr)",
             f"g{i} AS (SELECT host, made, count(*) >= 8 AND count(*) * 2 >= sum(n) AS varies FROM d{i} GROUP BY host, made)",
             f"a{i} AS (SELECT host, made, cont, rate, min(seg) AS low, count(*) AS members FROM d{i} GROUP BY host, made, cont, rate)",
             f"n{i} AS (SELECT d.host, d.made, d.seg, CASE WHEN d.seg = '' THEN '' WHEN varies THEN '{{any}}' WHEN members > 1 AND NOT starts_with(d.seg, '{{') THEN '{{' || low || '|' || members || '}}' ELSE d.seg END AS name "
             f"FROM d{i} d JOIN g{i} g ON d.host = g.host AND d.made = g.made JOIN a{i} a ON d.host = a.host AND d.made = a.made AND d.cont = a.cont AND d.rate = a.rate)",
-            f"r{i + 1} AS (SELECT s.host, s.first, s.n, s.labelled, s.blocked, CASE WHEN len(s.todo) > 1 THEN s.todo[2:] ELSE [] END AS todo, CASE WHEN len(s.todo) > 0 THEN s.made || '/' || name ELSE s.made END AS made "
+            f"r{i + 1} AS (SELECT s.host, s.first, s.n, s.labelled, s.blocked, s.todo[2:] AS todo, s.made || '/' || name AS made "
             f"FROM s{i} s JOIN n{i} n ON s.host = n.host AND s.made = n.made AND s.seg = n.seg)",
         ]
+    ended = " UNION ALL ".join(f"SELECT host, first, labelled, blocked, made AS template FROM r{i + 1} WHERE len(todo) = 0" for i in range(levels))
     parts += [
-        f"z AS (SELECT host, first, labelled, blocked, CASE WHEN len(todo) > 0 THEN made || '/{{rest}}' ELSE made END AS template FROM r{max_depth})",
-        f"k AS (SELECT host, template, l >= 3 AND {rate} >= 0.5 AS rejected FROM (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b FROM z GROUP BY host, template) x, pr)",
+        f"z AS ({ended})",
+        "t AS (SELECT host, template, string_split(template, '/') AS way, sum(labelled)::BIGINT AS l, sum(blocked)::BIGINT AS b FROM z GROUP BY host, template)",
+        f"w AS (SELECT host, array_to_string(way[1:i], '/') AS node, sum(l)::BIGINT AS l, sum(b)::BIGINT AS b FROM t, range(1, {levels + 2}) x(i) WHERE i <= len(way) GROUP BY ALL)",
+        "p0 AS (SELECT host, template, way, prior AS v FROM t, pr)",
     ]
+    for i in range(1, levels + 2):
+        parts.append(
+            f"p{i} AS (SELECT p.host, p.template, p.way, CASE WHEN len(p.way) >= {i} THEN (w.b + 2.0::DOUBLE * p.v) / (w.l + 2.0::DOUBLE) ELSE p.v END AS v "
+            f"FROM p{i - 1} p LEFT JOIN w ON w.host = p.host AND w.node = array_to_string(p.way[1:{i}], '/') AND len(p.way) >= {i})"
+        )
+    parts.append(f"k AS (SELECT host, template, v > 0.5 AS rejected FROM p{levels + 1})")
     return "WITH " + ",\n".join(parts) + """
 SELECT v.page_id, v.host, v.path, v.rule, CASE WHEN v.rule IN ('org/', 'com/fr/') THEN 'allow' WHEN v.rule IS NOT NULL OR k.rejected THEN 'block' ELSE 'allow' END AS verdict, z.template
 FROM v LEFT JOIN z ON v.host = z.host AND v.first = z.first LEFT JOIN k ON z.host = k.host AND z.template = k.template"""
