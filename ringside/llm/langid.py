@@ -2,10 +2,9 @@
 
 Learning: from labelled rows, a bounded sample of them (``max_docs``, the
 documents with the smallest hashes in expectation), word counts by language are
-aggregated on the cluster; the ``max_words`` most frequent words of each language
-make the model, and the character n-grams of those words, weighted by their
-counts, the fallback. The model's size is bounded by those parameters and not by
-the corpus, so it is broadcast.
+aggregated on the cluster; all words of the sample make the model, and the
+character n-grams of those words, weighted by their counts, the fallback. The
+model's size is bounded by the sample and not by the corpus, so it is broadcast.
 
 Prediction: the letters of a text are cut into lower-cased words. A known word
 adds its log frequency in each language; an unseen word is looked up by its
@@ -15,7 +14,11 @@ score is its posterior with equal priors.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0,
 and so is every text where no labelled row was to be had. Only the text is an
-input of a prediction. Repeated rows give repeated results.
+input of a prediction. Repeated rows give repeated results, and a document that
+is repeated in the sample counts each time. A very long text is scored whole. An
+empty table gives an empty result. A column that is there by the name of a
+prediction gives way in ``predict``; ``identified`` keeps all columns and reserves
+names that begin with ``_rs_``.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 UNKNOWN = "und"
 _letters = regex.compile(r"\p{L}+").findall
 
@@ -50,49 +55,44 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _logs(counts: dict[str, np.ndarray], n_langs: int) -> tuple[dict[str, int], np.ndarray]:
+def _logs(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """Smoothed log frequency by language; add half an occurrence to each."""
-    keys = sorted(counts)
-    c = np.array([counts[k] for k in keys], dtype=float).reshape(len(keys), n_langs) + 0.5
+    c = counts + 0.5
     return {k: i for i, k in enumerate(keys)}, np.log(c / c.sum(axis=0)) if len(keys) else c
 
 
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """About ``most`` most frequent words of each language, without ordering all
-    words of one: the least frequency is found on a histogram of frequencies, and
-    of the words that have just that, a share is taken by hash."""
-    order = Window.partitionBy("lang").orderBy(F.desc("count"))
-    above = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    steps = counts.groupBy("lang", "count").agg(F.count("*").alias("n")).withColumn("share", (most - above) / F.col("n")).where("share > 0")
-    steps = steps.select(F.col("lang").alias("_lang"), F.col("count").alias("_count"), "share")
-    drawn = F.pmod(F.xxhash64("word"), F.lit(1_000_000)) / 1_000_000
-    rows = counts.join(F.broadcast(steps), (counts["lang"] == steps["_lang"]) & (counts["count"] == steps["_count"]))  # a row for each frequency
-    return rows.where(drawn < F.col("share")).select("lang", "word", "count").orderBy("lang", F.desc("count"), "word")
+def _grams_logs(words: list[str], counts: np.ndarray, n: int) -> tuple[dict[str, int], np.ndarray]:
+    """The n-grams of all words, weighted by the words' counts."""
+    at: dict[str, int] = {}
+    gram, word = [], []
+    for i, w in enumerate(words):
+        for g in grams_of(w, n):
+            gram.append(at.setdefault(g, len(at)))
+            word.append(i)
+    sums = np.zeros((len(at), counts.shape[1]))
+    np.add.at(sums, np.array(gram, dtype=np.int64), counts[np.array(word, dtype=np.int64)])
+    return _logs(list(at), sums)
+
 
+def train(labelled: DataFrame, max_docs: int = 2_000, max_n: int = 4) -> Model:
+    """Fit on (doc_id, text, lang) rows; rows with a null in any are left out.
 
-def train(labelled: DataFrame, max_docs: int = 8_000, max_words: int = 20_000, max_n: int = 4) -> Model:
-    """Fit on (doc_id, text, lang) rows; rows with a null in any are left out."""
-    rows = labelled.where("text is not null and lang is not null")
+    ``max_docs`` bounds the sample, and with it the model: every word of the
+    sample is a known word, and every n-gram of those is counted."""
+    rows = labelled.where("doc_id is not null and text is not null and lang is not null")
     n = rows.count()
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = rows.where(h < max(1, math.ceil(1_000_000 * max_docs / n))) if n > max_docs else rows
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    counts = words.groupBy("lang", "word").count()
-    found = _frequent(counts, max_words).toPandas()  # about max_words rows a language at most
-    langs = sorted(found["lang"].unique())
-    at = {lang: i for i, lang in enumerate(langs)}
-    by_word: dict[str, np.ndarray] = {}
-    by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(max_n + 1)]
-    for lang, word, count in zip(found["lang"], found["word"], found["count"], strict=True):
-        by_word.setdefault(word, np.zeros(len(langs)))[at[lang]] += count
-        for k in range(1, max_n + 1):
-            for g in grams_of(word, k):
-                if (row := by_gram[k].get(g)) is None:
-                    row = by_gram[k][g] = np.zeros(len(langs))
-                row[at[lang]] += count
-    known, logs = _logs(by_word, len(langs))
-    fallback = [_logs(g, len(langs)) for g in by_gram]
-    return Model(langs, known, logs, [g for g, _ in fallback], [m for _, m in fallback])
+    found = words.groupBy("lang", "word").count().toPandas()  # the words of max_docs documents at most
+    langs, lang = np.unique(found["lang"].to_numpy(dtype=str), return_inverse=True)
+    known, word = np.unique(found["word"].to_numpy(dtype=str), return_inverse=True)
+    counts = np.zeros((len(known), len(langs)))
+    counts[word, lang] = found["count"].to_numpy()
+    names = known.tolist()
+    by_word, logs = _logs(names, counts)
+    fallback = [_grams_logs(names, counts, k) for k in range(1, max_n + 1)]
+    return Model(langs.tolist(), by_word, logs, [{}, *[g for g, _ in fallback]], [np.zeros((0, len(langs))), *[m for _, m in fallback]])
 
 
 class Scorer:
@@ -130,9 +130,8 @@ class Scorer:
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """Add the predicted language and its score to each row."""
-    if {lang_col, score_col} & set(df.columns):
-        raise ValueError(f"there is a column {lang_col} or {score_col} already")
+    """Add the predicted language and its score to each row, in place of columns
+    of these names."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by train()'s parameters
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -140,11 +139,13 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str =
         for batch in texts:
             found = [scorer.score(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang", "score"])
+            give_back()
 
     # texts go to the workers and only the answers come back
     udf = F.arrow_udf(run, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]), F.ArrowUDFType.SCALAR_ITER)
     rows = df.withColumn("_rs_found", udf(F.col(text_col)))
-    return rows.select(*df.columns, F.col("_rs_found.lang").alias(lang_col), F.col("_rs_found.score").alias(score_col))
+    kept = [c for c in df.columns if c not in (lang_col, score_col)]
+    return rows.select(*kept, F.col("_rs_found.lang").alias(lang_col), F.col("_rs_found.score").alias(score_col))
 
 
 def held_out(doc_id: Column) -> Column:
