@@ -17,7 +17,10 @@ checkpointed links.
 
 Defined results: null text counts as empty; repeated rows each get a row; where
 no member of a component has a doc_id, component_id is null; extra columns are
-left out of the result. Empty input gives an empty result.
+left out of the result. Shingles of a very long text are hashed chunk by chunk,
+the whole text; a bit set in just half of the hashes is 0. Empty input gives an
+empty result. ``deduplicated`` keeps all columns of the documents and reserves
+names that begin with ``_rs_``.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near
-from .common import checkpointed
+from .common import checkpointed, give_back
 
 SHINGLE = 3
 SEED = 42
@@ -45,16 +48,15 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     words = (text or "").encode("utf-8").lower().split()  # bytes: ASCII only, as asked for
     if not words:
         return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
     digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1)
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(grams), _CHUNK):
-        h = np.array([digest(g, seed) for g in grams[at : at + _CHUNK]], dtype="<u8")
+    for at in range(0, n, _CHUNK):  # a very long text's shingles aren't all held at once
+        part = words[at : min(at + _CHUNK, n) + shingle - 1]
+        grams = [b" ".join(part)] if n == 1 else map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
+        h = np.fromiter((digest(g, seed) for g in grams), dtype="<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(grams), bitorder="little")
+    bits = np.packbits(counts * 2 > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
@@ -68,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
         for b in batches:
             fp = [fingerprint_of(t, shingle, seed) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp, pa.int64())], names=["doc_id", "th", "fp"])
+            give_back()
 
     return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
@@ -163,8 +166,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     one = checkpointed(near.banded(docs).groupBy("th").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")))
     points = near.crowded(one)
     sets = near.sets_of(docs, one, points)
-    one = _leads(one, near.verified(sets, near.with_least(points)))
-    sets = sets.join(one, "th", "left_semi")
+    one = _leads(one, near.verified(sets, near.with_leader(points)))
+    sets = sets.join(near.crowded(one).select("th").distinct(), "th", "left_semi")  # who meets no other any more stays
     one = _leads(one, near.verified(sets, near.with_all(sets)))
     kept = one.select(F.xxhash64("first.doc_id", "th").alias("_rs_k"), F.col("th").alias("_rs_th"))
     # keys without nulls: rows are dealt once, for the join and for repeated rows
