@@ -12,7 +12,9 @@ costs the blocks it held. Memory is bounded by ``block_chars`` and
 ``cache_words``, whatever the size of the corpus.
 
 Defined results: null text counts as empty; an empty text has no ids; repeated
-rows give repeated results; other columns are passed on untouched.
+rows give repeated results; a very long text is a block by itself, whole; of equal
+pairs in a run ("aaa") the left one is merged; an empty table gives an empty
+result; other columns are passed on untouched.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 INF = np.int32(2**31 - 1)
 
 
@@ -171,9 +175,9 @@ class BlockEncoder:
         cut = [self.find(t) if t else [] for t in texts]
         known = self.known
         fresh = set().union(*cut).difference(known) if cut else set()
-        if len(known) + len(fresh) > self.cache_words:
-            known.clear()
-            fresh = set().union(*cut)
+        if len(known) + len(fresh) > self.cache_words:  # what this block needs stays: frequent pretokens are merged once
+            needed = set().union(*cut)
+            self.known = known = {w: known[w] for w in needed.intersection(known)}
         words = list(fresh)
         known.update(zip(words, self.replay.encode([w.encode("utf-8") for w in words]), strict=True))
         return [b"".join(map(known.__getitem__, c)) for c in cut]
@@ -225,11 +229,12 @@ def encode(
     packed: bool = False,
     decoded_col: str | None = None,
     drop: tuple[str, ...] = (),
-    block_chars: int = 3_000_000,
-    cache_words: int = 300_000,
+    block_chars: int = 2_000_000,
+    cache_words: int = 200_000,
 ) -> DataFrame:
     """Add the ids of each text: array<int>, or with ``packed`` little-endian
-    unsigned 32-bit integers as binary. ``df`` must not have ``ids_col`` yet.
+    unsigned 32-bit integers as binary. A column that is there by such a name
+    gives way.
 
     ``decoded_col`` decodes the ids in the same pass; columns in ``drop`` (the
     text, say) are not sent back, which saves memory and time.
@@ -238,9 +243,7 @@ def encode(
     by itself). ``cache_words``: pretokens whose ids a worker keeps.
     """
     new = [c for c in (ids_col, decoded_col) if c]
-    if set(new) & set(df.columns):
-        raise ValueError(f"there is a column {new} already")
-    kept = [f for f in df.schema.fields if f.name not in drop]
+    kept = [f for f in df.schema.fields if f.name not in drop and f.name not in new]
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # under 1 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +257,7 @@ def encode(
                     back = [_joined(np.frombuffer(x, dtype="<u4").tolist(), vocabulary) for x in ids]
                     block = _with_column(block, decoded_col, pa.array(back, type=pa.binary()))
                 yield block
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
     more = [T.StructField(ids_col, kind)] + [T.StructField(c, T.BinaryType()) for c in new[1:]]
@@ -271,9 +274,9 @@ def _joined(ids: list[int], vocabulary: dict[int, bytes]) -> bytes:
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", block_bytes: int = 2_000_000) -> DataFrame:
     """Add the bytes that the ids stand for. ``ids_col`` is array<int> or packed
-    binary; null counts as no ids. An id outside the vocabulary raises."""
-    if bytes_col in df.columns:
-        raise ValueError(f"there is a column {bytes_col} already")
+    binary; null counts as no ids. An id outside the vocabulary raises. A column
+    that is there by the name ``bytes_col`` gives way."""
+    kept = [f for f in df.schema.fields if f.name != bytes_col]
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     packed = isinstance(df.schema[ids_col].dataType, T.BinaryType)
 
@@ -285,10 +288,10 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
                 for x in block.column(ids_col):
                     ids = np.frombuffer(x.as_py() or b"", dtype="<u4").tolist() if packed else x.as_py() or []
                     out.append(_joined(ids, vocabulary))
-                yield _with_column(block, bytes_col, pa.array(out, type=pa.binary()))
-            pa.default_memory_pool().release_unused()
+                yield _with_column(block.select([f.name for f in kept]), bytes_col, pa.array(out, type=pa.binary()))
+            give_back()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
