@@ -51,9 +51,8 @@ def test_encode_and_decode(spark):
     assert [bytes(r.decoded).decode() for r in back] == [t or "" for t in [*TEXTS, TEXTS[5]]] and back[0].extra == "x"
     once = bpe.encode(df, PATH, PATTERN, packed=True, decoded_col="decoded", drop=("text",))
     assert once.columns == ["doc_id", "extra", "ids", "decoded"] and [bytes(r.decoded) for r in once.orderBy("doc_id").collect()] == [bytes(r.decoded) for r in back]
-    for clash in ("ids", "decoded"):
-        with pytest.raises(ValueError, match=clash):
-            bpe.decode(bpe.encode(df.withColumn(clash, F.lit(1)), PATH, PATTERN), PATH)
+    clash = bpe.decode(bpe.encode(df.withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(2)), PATH, PATTERN), PATH)
+    assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in clash.collect()} == {r.doc_id: (r.ids, bytes(r.decoded)) for r in back}  # they give way
 
 
 def test_digests(spark):
@@ -78,13 +77,29 @@ def test_token_files_cut_anywhere(spark, size, monkeypatch):
     assert counts(spark.createDataFrame(rows, "path string, block long, content binary")) == want
 
 
-def test_token_files_from_disk_and_from_rows(spark, tmp_path):
-    data = np.array([1, 9, 2, 2, 9, 3], dtype="<u2")
-    (tmp_path / "f.bin").write_bytes(data.tobytes())
-    got = [r[1:] for r in counts(tokenscan.file_blocks(spark, str(tmp_path), block_bytes=4))]
-    assert got == [(0, 1, False), (1, 2, False), (2, 1, True)]
-    ids = bpe.encode(docs(spark, TEXTS), PATH, PATTERN, packed=True)
-    found = tokenscan.token_counts(tokenscan.written_blocks(ids, 50256, block_tokens=64), 50256)
-    assert sorted(r.n_tokens for r in found.collect()) == sorted(len(expected(t)) for t in TEXTS) and found.where("open").count() == 0
+def test_token_files_from_disk(spark, tmp_path):
+    (tmp_path / "f.bin").write_bytes(np.array([1, 9, 2, 2, 9, 3], dtype="<u2").tobytes())
+    (tmp_path / "g.bin").write_bytes(np.array([4] * 5000 + [9, 9], dtype="<u2").tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for size in (2, 4, 64, 1 << 20):
+        got = [(r[0][-5], *r[1:]) for r in counts(tokenscan.file_ranges(spark, str(tmp_path), block_bytes=size, range_bytes=1000))]
+        assert got == [("f", 0, 1, False), ("f", 1, 2, False), ("f", 2, 1, True), ("g", 0, 5000, False), ("g", 1, 0, False)]
     none = spark.createDataFrame([], "path string, block long, content binary")
     assert counts(none) == [] and counts(spark.createDataFrame([("x", 0, None)], none.schema)) == []
+
+
+def test_counts_through_flat_files(spark):
+    texts = [*TEXTS, TEXTS[5]]
+    df = docs(spark, texts).withColumn("file", F.lit("clash")).withColumn("n_tokens", F.lit(-1)).repartition(3)
+    ids = bpe.encode(df, PATH, PATTERN, packed=True)
+    for width, block in ((2, 64), (4, 1 << 20)):
+        got = tokenscan.counted(ids, 50256, width=width, block_bytes=block).collect()
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len(expected(t))) for i, t in enumerate(texts)]
+    repeated = tokenscan.counted(ids.union(ids), 50256).collect()
+    assert len(repeated) == 2 * len(texts) and tokenscan.counted(ids.limit(0), 50256).count() == 0
+    with pytest.raises(ValueError, match="separator"):
+        tokenscan.counted(ids, 70_000)
+    for bad in ([70_000], [3, 9, 4]):
+        rows = spark.createDataFrame([(1, np.array(bad, dtype="<u4").tobytes())], "doc_id long, ids binary")
+        with pytest.raises(Exception, match="separator"):
+            tokenscan.counted(rows, 9).collect()

@@ -109,6 +109,59 @@ def test_digests(spark):
     assert got[5].near_edited > 0.5 > got[5].near_next
 
 
+def plain_lanes(text):
+    """8 uniform lanes, the number of shingles, and for each bit the shingles that have it."""
+    lanes = [0] * 72
+    for p in (text or "").split("\n"):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", p) if w]
+        if not words:
+            continue
+        for s in range(4):
+            h = spark_hash(s, p)
+            lanes[2 * s] += h & 0xFFFFFFFF
+            lanes[2 * s + 1] += h >> 32
+        grams = [words[i : i + 3] for i in range(len(words) - 2)] if len(words) > 3 else [[" ".join(words)]]
+        for g in grams:
+            h = spark_hash(*g)
+            lanes[8] += 1
+            for bit in range(63):
+                lanes[9 + bit] += h >> (21 * (bit // 21) + bit % 21) & 1
+    return [x & 0xFFFFFFFF for x in lanes[:8]] + lanes[8:]
+
+
+def spark_hash(*values):
+    """Spark's chained xxhash64 (seed 42; whole numbers as 4 bytes), unsigned."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(4, "little") if isinstance(v, int) else v.encode(), seed)
+    return seed
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * c - v[8] for c in v[9:]] for v in (a, b))
+    whole = sum(i * i for i in x) + sum(i * i for i in y)
+    return max(0.0, min(1.0, 1 - sum((i - j) ** 2 for i, j in zip(x, y, strict=True)) / whole)) if whole else 0.0
+
+
+def plain_shown(lanes):
+    return "".join(f"{x & 0xFFFFFFFF:08x}" for x in lanes[:9]) + "".join(f"{x & 0xFFFFFF:06x}" for x in lanes[9:])
+
+
+def test_fingerprints_against_plain_sums(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "Ünï", "x", "🎉", "delta"]
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(rng.randint(1, 6))) for _ in range(40)] + [None, "", "one", "a b c\td e\x0bf"]
+    want = [plain_lanes(t) for t in texts]
+    for r in fingerprint.digests(docs(spark, texts).withColumn("lanes", F.lit(0)).withColumn("h1", F.lit(0))).collect():
+        own, after = texts[r.doc_id] or "", texts[(r.doc_id + 1) % len(texts)] or ""
+        edited = plain_lanes(own[: len(own) - len(own) // 4] + after[: len(own) // 4])
+        a = want[r.doc_id]
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_shown(a), plain_shown(edited))
+        assert r.near_edited == pytest.approx(plain_likeness(a, edited)) and r.near_next == pytest.approx(plain_likeness(a, want[(r.doc_id + 1) % len(texts)]))
+
+
 def test_ids_missing_and_rows_repeated(spark):
     got = fingerprint.digests(docs(spark, ["b", "b", "a c", "d"], ids=[7, 7, None, 7])).collect()
     assert len(got) == 4 and sum(r.doc_id is None for r in got) == 1 and len({(r.doc_id, r.edited_sha256) for r in got}) == 3
@@ -119,6 +172,11 @@ def test_ids_missing_and_rows_repeated(spark):
 def test_insert_and_delete(spark):
     df = docs(spark, ["p one two\nq three", "p one two", "q three"])
     v = {r.doc_id: r.lanes for r in fingerprint.fingerprints(df).collect()}
+    many = docs(spark, ["\n".join(f"word{i} of a line" for i in range(50)), "\n".join(f"word{i} of a line" for i in range(49)), "word49 of a line"])
+    m = {r.doc_id: r.lanes for r in fingerprint.fingerprints(many).collect()}
+    lanes = spark.createDataFrame([(m[1], m[2], m[0])], "a array<long>, b array<long>, w array<long>")
+    r = lanes.select(fingerprint.insert(F.col("a"), F.col("b")).alias("i"), fingerprint.delete(F.col("w"), F.col("b")).alias("d")).first()
+    assert r.i == m[0] and r.d == m[1]  # lane by lane, not only as text
     both = spark.createDataFrame([(v[0], v[1], v[2])], "w array<long>, a array<long>, b array<long>")
     r = both.select(fingerprint.as_text(F.col("w")).alias("w"), fingerprint.as_text(fingerprint.insert(F.col("a"), F.col("b"))).alias("i"), fingerprint.delete(F.col("w"), F.col("b")).alias("d")).first()
     assert r.w == r.i and r.d == v[1]

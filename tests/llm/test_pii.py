@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -121,3 +123,70 @@ def test_rare_values_are_measured_by_group_and_kind(spark):
 def test_short_words_are_terms(spark):
     texts = [*[f"report{i} common ab p{i}@corp.example.com" for i in range(4)], *[f"plain{i} common" for i in range(40)]]
     assert all(s == ["ab"] for s in shown_terms(spark, texts)[:4])
+
+
+def entities(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    group = {"email": value.lower().split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+    return {f"{kind}:{value.lower()}", f"{kind} group:{group}", f"{kind} any"}
+
+
+def plain_spans(texts, support=3, generalise_at=0.8):
+    """All spans of each text by plain counting over documents."""
+    base = [sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(PLAIN) for m in re.finditer(p, t or "") if holds(k, m.group())) for t in texts]
+    held, words = [], []
+    for t, spans in zip(texts, base, strict=True):
+        blank = list(t or "")
+        for a, _, b, _ in spans:
+            blank[a:b] = " " * (b - a)
+        held.append(set().union(*(entities(k, t[a:b]) for a, _, b, k in spans)))
+        words.append([(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", "".join(blank))])
+    n, df, entity, met, where = len(texts), {}, {}, {}, {}
+    for t, es, ws in zip(texts, held, words, strict=True):
+        for w in {w for _, _, w in ws}:
+            df[w] = df.get(w, 0) + 1
+            for e in es:
+                met[e, w] = met.get((e, w), 0) + 1
+                where.setdefault((e, w), set()).add(t)
+        for e in es:
+            entity[e] = entity.get(e, 0) + 1
+            where.setdefault(e, set()).add(t)
+    told = set()
+    for (e, w), m in met.items():
+        if len(where[e]) >= support and len(where[e, w]) >= support and entity[e] < n:
+            if math.log2(m * n / (df[w] * entity[e])) / math.log2(n / entity[e]) >= generalise_at:
+                told.add((e, w))
+    out = []
+    for spans, es, ws in zip(base, held, words, strict=True):
+        more = [(a, 9, b, "term") for a, b, w in ws if any((e, w) in told for e in es)]
+        out.append(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans + more)))
+    return out
+
+
+def test_all_spans_against_plain_counting(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    values = ["p{}@a.example", "q{}@b.example", "10.1.{}.4", "+49 30 12345{:03d}"]
+    texts = [None, "", None]
+    for i in range(400):
+        body = rng.choices(words, k=rng.randint(1, 12))
+        if rng.random() < 0.25:
+            kind = rng.randrange(4)
+            body.insert(rng.randrange(len(body) + 1), values[kind].format(rng.randrange(200)))
+            body += [f"tell{kind}"] * rng.randint(0, 2)
+        texts.append(" ".join(body))
+    texts += texts[5:40] * 2  # copies
+    texts.append(" ".join(f"m{i}@long.example tell0 x{i % 7}" for i in range(4000)))  # very long, with many spans
+    want = plain_spans(texts)
+    got = {r.doc_id: r.spans for r in pii.digests(docs(spark, texts)).collect()}
+    assert sum("term" in s for s in want) > 30
+    assert [got[i] for i in range(len(texts))] == want
+    out = {r.doc_id: r.text for r in pii.sanitised(docs(spark, texts)).collect()}
+    long, rank = texts[-1], {k: i for i, (k, _) in enumerate(PLAIN)} | {"term": 9}
+    spans = sorted((int(a), rank[k], int(b), k) for k, a, b in (x.split(":") for x in want[-1].split(",")))
+    pieces, at = [], 0
+    for a, _, b, k in spans:
+        pieces += [long[at:a], None if k == "term" else f"[{k.upper()}]"]
+        at = b
+    pattern = "".join("(?:|\\[WORD\\]|\\[NUMBER\\])" if p is None else re.escape(p) for p in [*pieces, long[at:]])
+    assert re.fullmatch(pattern, out[len(texts) - 1])

@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from ringside.llm import chat, langid, mixing, topk, urls
@@ -135,16 +136,106 @@ def test_top_k(spark, monkeypatch, n, block):
 
 def test_chat(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, " ", "é🎉"), (1, 300, "ann", "later"), (2, 0, "system", "x"), (3, None, "cy", "n"), (None, 0, "di", "o"), (3, None, "cy", "n")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("c"))
-    got = {(r.conv_id, r.part, r.speaker): r for r in chat.perspectives(df).collect()}
-    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (1, 1, "ann"), (3, -1, "cy"), (None, 0, "di")}
-    ann = got[1, 0, "ann"]
-    assert ann.text == "<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=unknown\né🎉<|im_end|>\n"
-    for (_, _, who), r in got.items():
-        said = [r.text[m.start : m.end] for m in r.mask]
-        assert said == {"ann": said, "bob": [""], "unknown": ["é🎉"], "cy": ["n", "n"], "di": ["o"]}[who]
-    assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi < |im_end|>"]
-    assert chat.digests(df.limit(0)).count() == 0 and chat.digests(df).count() == 6
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("chunk", F.lit("c"))
+    got = {(r.conv_id, r.speaker, r.chunk): r for r in chat.perspectives(df).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (3, "cy", 0), (None, "di", 0)}
+    ann = got[1, "ann", 0]
+    assert ann.text == (
+        "<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
+        "<|im_start|>user name=unknown\né🎉<|im_end|>\n<|im_start|>assistant\nlater<|im_end|>\n"
+    )
+    said = {who: [r.text[m.start : m.end] for m in r.mask] for (_, who, _), r in got.items()}
+    assert said == {"ann": ["hi < |im_end|>", "later"], "bob": [""], "unknown": ["é🎉"], "cy": ["n", "n"], "di": ["o"]}
+    assert chat.digests(df.limit(0)).count() == 0 and chat.digests(df).count() == 5
+
+
+@pytest.mark.parametrize("chunk", [7, 256])
+def test_a_long_dialogue_is_one_rendering(spark, monkeypatch, chunk):
+    """1,000 turns: every participant gets all of them, with one mask over the whole."""
+    monkeypatch.setattr(chat, "RUN", 3)
+    turns = [(5, n, "system" if n % 250 == 0 else "late" if n > 990 else ["ann", "bob"][n % 2], f"say {n} " + "é" * (n % 5)) for n in range(1000)]
+    others = [(c, n, "xy"[n % 2], f"{c}.{n}") for c in range(20) for n in range(c)]
+    df = spark.createDataFrame(turns + [(100 + c, *r) for c, *r in others], "conv_id long, turn long, role string, text string").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = chat.perspectives(df, chunk=chunk).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for conv, roles in ((5, ("ann", "bob", "late")), (119, ("x", "y"))):
+        said = [r for r in turns if r[0] == conv] + [(100 + c, *r) for c, *r in others if 100 + c == conv]
+        for who in roles:
+            parts = sorted((r for r in got if (r.conv_id, r.speaker) == (conv, who)), key=lambda r: r.chunk)
+            assert [r.chunk for r in parts] == list(range(-(-len(said) // chunk)))
+            head = lambda role, who=who: "system" if role == "system" else "assistant" if role == who else f"user name={role}"
+            whole = "".join(f"<|im_start|>{head(r[2])}\n{r[3]}<|im_end|>\n" for r in said)
+            assert "".join(r.text for r in parts) == whole and [r.first_char for r in parts] == [len("".join(x.text for x in parts[:i])) for i in range(len(parts))]
+            assert [whole[m.start : m.end] for r in parts for m in r.mask] == [r[3] for r in said if r[2] == who]
+
+
+def plain_model(rows, most=4):
+    """Smoothed log frequencies by language of words and, by length, of their n-grams."""
+    langs = sorted({x for _, t, x in rows if t is not None and x is not None})
+    words = defaultdict(lambda: [0] * len(langs))
+    for _, t, x in rows:
+        if t is not None and x is not None:
+            for w in regex.findall(r"\p{L}+", t.lower()):
+                words[w][langs.index(x)] += 1
+    levels = [words]
+    for n in range(1, most + 1):
+        grams = defaultdict(lambda: [0] * len(langs))
+        for w, c in words.items():
+            for i in range(len(w) + 3 - n):
+                for k in range(len(langs)):
+                    grams[f"^{w}$"[i : i + n]][k] += c[k]
+        levels.append(grams)
+    logs = []
+    for level in levels:
+        total = [sum(c[k] + 0.5 for c in level.values()) for k in range(len(langs))]
+        logs.append({g: [math.log((c[k] + 0.5) / total[k]) for k in range(len(langs))] for g, c in level.items()})
+    return langs, logs
+
+
+def plain_language(text, langs, logs):
+    found = regex.findall(r"\p{L}+", text.lower()) if text else []
+    if not found or not langs:
+        return "und", 0.0
+    sums = [0.0] * len(langs)
+    for w in found:
+        rows = [logs[0][w]] if w in logs[0] else []
+        for n in range(len(logs) - 1, 0, -1):
+            rows = rows or [logs[n][g] for g in (f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)) if g in logs[n]]
+        for k in range(len(langs)):
+            sums[k] += sum(r[k] for r in rows) / len(rows) if rows else 0.0
+    best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+    return langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)
+
+
+def test_language_against_a_plain_model(spark):
+    import random
+    import zlib
+
+    rng = random.Random(4)
+    stems = {"en": ["the", "house", "with", "ing", "water"], "de": ["der", "haus", "mit", "ung", "wässer"], "fr": ["le", "maison", "avec", "tion", "été"]}
+    text = lambda x: " ".join("".join(rng.choices(stems[x], k=rng.randint(1, 3))) for _ in range(rng.randint(1, 12)))
+    rows = [(i, text(x), x) for i, x in enumerate(rng.choices(list(stems), k=300))]
+    rows += [(300, None, "en"), (301, "12 !", "de"), (302, "xyzzy qqq", None), (303, "The " * 20_000, "en"), (304, rows[3][1], rows[3][2]), (304, rows[3][1], rows[3][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(1))
+    langs, logs = plain_model([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+    for r in langid.digests(df).collect():
+        lang, score = plain_language(dict((i, t) for i, t, _ in rows)[r.doc_id], langs, logs)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-6)
+    assert langid.predict(df, langid.learnt(df)).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
+def test_any_depth_and_back_off(spark):
+    rules = (("block", "x.com/ads/old/"), ("allow", "y.com/news/"), ("block", "y.com/ads/"))
+    deep = "/".join(f"s{i}" for i in range(12))
+    found = [f"http://x.com/ads/old/{n}" for n in range(20)] + ["http://x.com/ads/new/1", "http://x.com/ads/new/2/" + deep, "http://x.com/", "http://x.com"]
+    found += [f"http://y.com/news/{n}" for n in range(20)] + [f"http://y.com/ads/{n}" for n in range(15)] + ["http://y.com/other/1", "http://z.net/ads/1"] + ["http://x.com/" + "a/" * 30]
+    got = [r for r in sorted(urls.judged(pages(spark, found), rules=rules).collect(), key=lambda r: r.page_id)]
+    assert [r.verdict for r in got[20:24]] == ["block"] * 4  # templates without labels go by the host's
+    assert [r.verdict for r in got[59:62]] == ["allow", "block", "block"]  # a mixed host; none: the rate of all labelled pages, 35 of 55; the first host again
+    assert got[21].template.count("/") == 15 and got[61].template.count("/") == 30
 
 
 def test_pipeline_stages(spark):
@@ -167,3 +258,26 @@ def test_pipeline_stages(spark):
     assert "[EMAIL]" in text[103] and "@" not in text[103] and text[1] == base[1]
     assert set(ids("mixing")) <= set(ids("pii")) and ids("byte_bpe").count(1) == ids("mixing").count(1)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def stage_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _th string, score double, size int, ids string")
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in any column, repeated rows, an empty text, a very long one, clashing columns; an empty table."""
+    import corpus_pipeline
+
+    base = "the house and the water of number with words and text again then more and more"
+    odd = [(i, f"{base} {i} " * (1 + i % 3), "en", f"s{i % 2}", 1, "a", 0.5, 1, "x") for i in range(12)]
+    odd += [(None, f"{base} none", "en", None, None, None, None, None, None), (3, odd[3][1], "en", "s1", 1, "a", 0.5, 1, "x"), (50, "", "en", "s0", 0, "a", 0.5, 1, "x"), (51, None, None, None, None, None, None, None, None)]
+    odd += [(52, "the very long house of water " * 20_000, "en", "s0", 1, "a", 0.5, 1, "x"), (53, " ".join(f"call me{i}@mail.example.com" for i in range(3000)), "en", "s1", 1, "a", 0.5, 1, "x")]
+    for rows in (odd, []):
+        docs = stage_rows(spark, rows)
+        kept = []
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = spark.createDataFrame(stage(spark, docs, None).collect(), stage(spark, docs, None).schema)
+            assert name == "byte_bpe" or docs.columns == columns
+            kept.append({r.doc_id for r in docs.collect()})
+        assert (not rows and not any(kept)) or ({None, 3, 52, 53} <= kept[0] and not {50, 51} & kept[0] and kept[4])
