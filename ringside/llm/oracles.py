@@ -54,21 +54,21 @@ WITH t AS (
     replace(coalesce(text, ''), '<|', '< |') AS body, coalesce(text, '') AS raw
   FROM conversations
 ), o AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw) - 1 AS no FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw) - 1 AS nth FROM t
 ), s AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), p AS (
-  SELECT s.conv_id, s.speaker, o.no, o.role = s.speaker AS own, o.body,
+  SELECT s.conv_id, s.speaker, o.nth, o.role = s.speaker AS own, o.body,
     '<|im_start|>' || CASE WHEN o.role = 'system' THEN 'system' WHEN o.role = s.speaker THEN 'assistant' ELSE 'user name=' || replace(o.role, '<|', '< |') END || chr(10) AS head
   FROM s JOIN o ON s.conv_id IS NOT DISTINCT FROM o.conv_id
 ), q AS (
   SELECT *, head || body || '<|im_end|>' || chr(10) AS piece FROM p
 ), m AS (
-  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM q
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM q
 )
-SELECT conv_id, speaker, (no // 256)::BIGINT AS chunk, count(*) AS n_turns, min(at) AS first_char, sum(length(piece))::BIGINT AS n_chars, sha256(string_agg(piece, '' ORDER BY no)) AS text_sha256,
-  coalesce(string_agg(CASE WHEN own THEN (at + length(head)) || ':' || (at + length(head) + length(body)) END, ',' ORDER BY no), '') AS mask
-FROM m GROUP BY conv_id, speaker, no // 256
+SELECT conv_id, speaker, (nth // 256)::BIGINT AS chunk, count(*) AS n_turns, min(begins) AS first_char, sum(length(piece))::BIGINT AS n_chars, sha256(string_agg(piece, '' ORDER BY nth)) AS text_sha256,
+  coalesce(string_agg(CASE WHEN own THEN (begins + length(head)) || ':' || (begins + length(head) + length(body)) END, ',' ORDER BY nth), '') AS mask
+FROM m GROUP BY conv_id, speaker, nth // 256
 """
 
 
