@@ -14,22 +14,19 @@ FIGHT_TIME = "FIGHT_TIME"
 QUOTES = ("mid_price", "best_bid", "best_ask", "best_bid_size", "best_ask_size")
 
 
-#: Leading characters of a name that a question is searched for by equality.
-LEAD = 8
-
-
 def _holding(asked: DataFrame, names: DataFrame) -> DataFrame:
     """(token_id, fighter_url) of every question q that holds a canonical name,
     wherever it begins.
 
-    A name's first LEAD characters (all, if fewer) meet the question's pieces of
-    that length by equality, so no question is compared with every name; what
-    meets is then checked in full."""
-    lead = F.least(F.lit(LEAD), F.length("canonical"))
-    keyed = names.select("fighter_url", "canonical", F.substring(F.col("canonical"), F.lit(1), lead).alias("piece"))
-    sized = asked.select("token_id", "q", F.explode(F.sequence(F.lit(1), F.lit(LEAD))).alias("n")).where(F.length("q") >= F.col("n"))
-    pieces = sized.select("token_id", "q", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(q) - n + 1), i -> substring(q, i, n))"))).alias("piece"))
-    return pieces.join(keyed, "piece").where(F.contains(F.col("q"), F.col("canonical"))).select("token_id", "fighter_url").distinct()
+    A question's pieces of the lengths that names have meet whole names by
+    equality, so no question is compared with every name and no key is hotter
+    than a name is asked about. The lengths are few: as many at most as the longest
+    name has characters."""
+    lengths = [r[0] for r in names.select(F.length("canonical")).distinct().collect()]
+    fits = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("q"))
+    cut = F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length("q") - n + 1), lambda i: F.substring(F.col("q"), i, n)))
+    pieces = asked.select("token_id", F.explode(F.array_distinct(F.flatten(cut))).alias("canonical"))
+    return pieces.join(names, "canonical").select("token_id", "fighter_url").distinct()
 
 
 def resolve_links(fights: DataFrame, fighters: DataFrame, questions: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -54,14 +54,15 @@ SELECT strftime(time_bucket(INTERVAL 5 MINUTE, captured_at), '%Y-%m-%d %H:%M:%S'
 
 
 def _market_side(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bouts, contestants with names, and markets that ask about every fifth pair."""
+    """Bouts, contestants with names, and markets that ask about every pair; each fifth misspells a name."""
     source = tables(spark, sf_dir, *SALES, "supplier")
     fights = FROM_SALES.then(("out", lambda d: "SELECT fight_url, a AS fighter_a_url, b AS fighter_b_url FROM bouts")).run(spark, source)
     name = F.concat(F.lit("Ácé Ñame-"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit(" Jr."))
     fighters = source["supplier"].where("s_suppkey % 23 <> 0").select(F.concat(F.lit("c"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("fighter_url"), name.alias("name"))
     short = lambda c: F.concat(F.lit("ACE NAME"), F.substring(c, 2, 9))
-    pairs = fights.groupBy("fighter_a_url", "fighter_b_url").agg(F.min("fight_url").alias("f")).where("cast(substr(f, 2) as bigint) % 5 = 0")
-    asked = pairs.select(F.concat(F.lit("t"), "f").alias("token_id"), F.concat(F.lit("UFC 310: Will "), short(F.col("fighter_a_url")), F.lit(" beat "), short(F.col("fighter_b_url")), F.lit("?")).alias("question"))
+    pairs = fights.groupBy("fighter_a_url", "fighter_b_url").agg(F.min("fight_url").alias("f"))
+    second = F.when(F.expr("cast(substr(f, 2) as bigint) % 5 = 0"), F.concat(F.lit("ACE NAM "), F.substring("fighter_b_url", 2, 9))).otherwise(short(F.col("fighter_b_url")))
+    asked = pairs.select(F.concat(F.lit("t"), "f").alias("token_id"), F.concat(F.lit("UFC 310: Will "), short(F.col("fighter_a_url")), F.lit(" beat "), second, F.lit("?")).alias("question"))
     again = asked.where("cast(substr(token_id, 3) as bigint) % 3 = 0").select(F.concat("token_id", F.lit("x")).alias("token_id"), "question")
     return fights, fighters, asked.unionByName(again)
 
@@ -73,7 +74,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOUTS_SQL = FROM_SALES.then(("out", lambda d: "SELECT 1")).text(Duck()).rsplit("SELECT 1", 1)[0].rstrip()
 _r.add("links", links, f"""{_BOUTS_SQL},
 fights AS (SELECT fight_url, a, b FROM bouts),
-asked AS (SELECT a, b, min(fight_url) AS f FROM fights GROUP BY a, b HAVING CAST(substr(min(fight_url), 2) AS BIGINT) % 5 = 0),
+asked AS (SELECT a, b, min(fight_url) AS f FROM fights GROUP BY a, b HAVING CAST(substr(min(fight_url), 2) AS BIGINT) % 5 <> 0),
 tokens AS (SELECT 't' || f AS token_id, a, b FROM asked UNION ALL SELECT 't' || f || 'x', a, b FROM asked WHERE CAST(substr(f, 2) AS BIGINT) % 3 = 0),
 known AS (SELECT 'c' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS c FROM supplier WHERE s_suppkey % 23 <> 0),
 cand AS (SELECT f.fight_url, count(DISTINCT t.token_id) AS n, min(t.token_id) AS token FROM fights f JOIN tokens t ON (t.a = f.a AND t.b = f.b) OR (t.a = f.b AND t.b = f.a)
@@ -85,8 +86,8 @@ FROM fights f LEFT JOIN cand c ON c.fight_url = f.fight_url""")
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as signals; a third without a known start."""
-    e = tables(spark, sf_dir, "events")["events"].where("event_id % 10 = 0")
+    """Every event as a signal; a third without a known start."""
+    e = tables(spark, sf_dir, "events")["events"]
     start = F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("INTERVAL '30' HOUR"))
     return e.select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("signal_id"), F.col("user_id").cast("string").alias("token_id"), F.col("ts").alias("created_at"), start.alias("event_start_time"))
 
@@ -99,7 +100,7 @@ def snapshot_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.schedule(_signals(spark, sf_dir)).select("signal_id", "token_id", "scheduled_offset", _stamp("scheduled_at"), "status", "snapshot_id")
 
 
-_SCHEDULE_SQL = """WITH s AS (SELECT 's' || CAST(event_id AS VARCHAR) AS signal_id, CAST(user_id AS VARCHAR) AS token_id, ts, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 30 HOUR END AS start FROM events WHERE event_id % 10 = 0),
+_SCHEDULE_SQL = """WITH s AS (SELECT 's' || CAST(event_id AS VARCHAR) AS signal_id, CAST(user_id AS VARCHAR) AS token_id, ts, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 30 HOUR END AS start FROM events),
 sched AS (SELECT signal_id, token_id, o AS scheduled_offset, CASE o WHEN '1H' THEN ts + INTERVAL 1 HOUR WHEN '4H' THEN ts + INTERVAL 4 HOUR WHEN '24H' THEN ts + INTERVAL 24 HOUR ELSE start END AS due_at FROM s, unnest(['1H', '4H', '24H', 'FIGHT_TIME']) t(o))"""
 _r.add("snapshot_schedule", snapshot_schedule, f"""{_SCHEDULE_SQL} SELECT signal_id, token_id, scheduled_offset, strftime(due_at, '%Y-%m-%d %H:%M:%S') AS scheduled_at,
 CASE WHEN due_at IS NULL THEN 'SKIPPED' ELSE 'PENDING' END AS status, sha256(signal_id || '|' || scheduled_offset) AS snapshot_id FROM sched""")
@@ -119,17 +120,14 @@ FROM due d LEFT JOIN hit h ON h.signal_id = d.signal_id AND h.scheduled_offset =
 
 
 def quote_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each purchase with its user's last view at or before it."""
+    """Each event with its user's last value before it."""
     e = tables(spark, sf_dir, "events")["events"]
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    left = e.where(F.col("event_type") == kinds[0]).select("event_id", "user_id", "ts")
-    right = e.where(F.col("event_type") == kinds[-1]).select("user_id", "ts", F.floor(F.col("value") * 100).cast("long").alias("cents"))
-    return asof.asof_join(left, right, ["user_id"], "ts", ["cents"]).select("event_id", F.col("cents").cast("double").alias("cents"), _stamp("matched_at"))
+    right = e.select("user_id", "ts", F.floor(F.col("value") * 100).cast("long").alias("cents"))
+    return asof.asof_join(e.select("event_id", "user_id", "ts"), right, ["user_id"], "ts", ["cents"], strict=True).select("event_id", F.col("cents").cast("double").alias("cents"), _stamp("matched_at"))
 
 
-_r.add("quote_asof", quote_asof, """WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), l AS (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM k)),
-r AS (SELECT user_id, ts, max(CAST(floor(value * 100) AS BIGINT)) AS cents FROM events WHERE event_type = (SELECT max(event_type) FROM k) GROUP BY 1, 2)
-SELECT l.event_id, r.cents::DOUBLE AS cents, strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS matched_at FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+_r.add("quote_asof", quote_asof, """WITH r AS (SELECT user_id, ts, max(CAST(floor(value * 100) AS BIGINT)) AS cents FROM events GROUP BY 1, 2)
+SELECT l.event_id, r.cents::DOUBLE AS cents, strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS matched_at FROM events l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts > r.ts""")
 
 
 def stale_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +149,7 @@ def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.unionByName(stores.insert_ignore(log, twice, ["signal_id"], "run"))
 
 
-_r.add("signal_log", signal_log, "SELECT 's' || CAST(event_id AS VARCHAR) AS signal_id, CAST(user_id AS VARCHAR) AS token_id, CASE WHEN user_id % 4 = 0 THEN 1 ELSE 2 END AS run FROM events WHERE event_id % 10 = 0")
+_r.add("signal_log", signal_log, "SELECT 's' || CAST(event_id AS VARCHAR) AS signal_id, CAST(user_id AS VARCHAR) AS token_id, CASE WHEN user_id % 4 = 0 THEN 1 ELSE 2 END AS run FROM events")
 
 
 def due_diligence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +166,7 @@ def _ask(row: dict) -> dict:
 
 
 _r.add("due_diligence", due_diligence, """SELECT 's' || CAST(event_id AS VARCHAR) AS signal_id, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN user_id % 7 = 0 THEN 'RuntimeError: no answer' END AS reason,
-CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 2 = 1 THEN 'VETO' ELSE 'CONFIRM' END AS verdict FROM events WHERE event_id % 10 = 0 AND user_id % 4 <> 0""")
+CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 2 = 1 THEN 'VETO' ELSE 'CONFIRM' END AS verdict FROM events WHERE user_id % 4 <> 0""")
 
 
 def unresolved_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +178,7 @@ def unresolved_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _r.add("unresolved_by_date", unresolved_by_date, f"""{_BOUTS_SQL}, known AS (SELECT 'c' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS c FROM supplier WHERE s_suppkey % 23 <> 0),
-asked AS (SELECT a, b, min(fight_url) AS f FROM bouts GROUP BY a, b HAVING CAST(substr(min(fight_url), 2) AS BIGINT) % 5 = 0),
+asked AS (SELECT a, b, min(fight_url) AS f FROM bouts GROUP BY a, b HAVING CAST(substr(min(fight_url), 2) AS BIGINT) % 5 <> 0),
 held AS (SELECT least(a, b) AS x, greatest(a, b) AS y, sum(CASE WHEN CAST(substr(f, 2) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END) AS n FROM asked GROUP BY 1, 2)
 SELECT CAST(o.event_date AS VARCHAR) AS event_date, count(*) AS n, min(o.fight_url) AS first_fight FROM bouts o LEFT JOIN held h ON h.x = least(o.a, o.b) AND h.y = greatest(o.a, o.b)
 WHERE NOT (o.a IN (SELECT c FROM known) AND o.b IN (SELECT c FROM known) AND coalesce(h.n, 0) = 1) GROUP BY 1""")

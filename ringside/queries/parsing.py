@@ -57,11 +57,10 @@ _r.plan("method_class", FROM_SALES.then(("out", lambda d: """SELECT fight_url, m
 
 def name_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
-    first = F.regexp_extract("text", r"^([^\n]{0,40})", 1)
-    return d.select("doc_id", normalize_name(F.concat(first, F.lit("  O'Neil-Smith Jr."))).alias("name"))
+    return d.select("doc_id", normalize_name(F.concat("text", F.lit("  O'Neil-Smith Jr."))).alias("name"))
 
 
-_r.add("name_norm", name_norm, r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(regexp_extract(text, '^([^\n]{0,40})', 1) || '  O''Neil-Smith Jr.')), '\b(?:jr\.?|sr\.?|ii|iii|iv|v)\s*$', ''), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM documents""")
+_r.add("name_norm", name_norm, r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text || '  O''Neil-Smith Jr.')), '\b(?:jr\.?|sr\.?|ii|iii|iv|v)\s*$', ''), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM documents""")
 
 
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,16 +76,16 @@ SELECT page_id, len(v)::BIGINT AS n_links, array_to_string(v, '|') AS links, reg
 
 def json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads with lists in strings, made from conversations, and read."""
-    c = _t(spark, sf_dir, "conversations").where("turn = 0")
-    cid = F.col("conv_id").cast("string")
+    c = _t(spark, sf_dir, "conversations")
+    cid = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     ids = F.when(F.col("conv_id") % 7 == 0, "not json").otherwise(F.concat(F.lit('[\\"y'), cid, F.lit('\\",\\"n'), cid, F.lit('\\"]')))
     flags = F.when(F.col("conv_id") % 5 == 0, '"active":true,"closed":true').when(F.col("conv_id") % 3 == 0, '"active":true').otherwise('"active":true,"closed":false')
     body = F.concat(F.lit('{"markets":[{"id":"'), cid, F.lit('","question":"q'), cid, F.lit('","clobTokenIds":"'), ids, F.lit('","outcomes":"[\\"Yes\\",\\"No\\"]",'), flags, F.lit("}]}"))
     return markets.market_rows(c.select(body.alias("payload"))).select("market_id", "question", "token_id", "outcome")
 
 
-_r.add("json_explode", json_explode, """SELECT CAST(conv_id AS VARCHAR) AS market_id, 'q' || conv_id AS question, x[1] || conv_id AS token_id, x[2] AS outcome
-FROM conversations, unnest([['y', 'Yes'], ['n', 'No']]) t(x) WHERE turn = 0 AND conv_id % 7 <> 0 AND conv_id % 5 <> 0 AND conv_id % 3 <> 0""")
+_r.add("json_explode", json_explode, """SELECT conv_id || '.' || turn AS market_id, 'q' || conv_id || '.' || turn AS question, x[1] || conv_id || '.' || turn AS token_id, x[2] AS outcome
+FROM conversations, unnest([['y', 'Yes'], ['n', 'No']]) t(x) WHERE conv_id % 7 <> 0 AND conv_id % 5 <> 0 AND conv_id % 3 <> 0""")
 
 
 def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
