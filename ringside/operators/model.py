@@ -30,6 +30,9 @@ SIDED = (
     "finish_rate", "sig_strikes_per_min", "striking_accuracy_pct", "td_accuracy_pct", "damage_ratio",
 )
 SHARED = ("reach_delta", "height_delta", "age_delta", "striking_efficiency_delta")
+#: With those that come from ratings and prestige.
+SIDED_RATED = (*SIDED, "elo_rating", "glicko2_rating", "pagerank_score")
+SHARED_RATED = (*SHARED, "elo_delta", "pagerank_delta")
 
 
 def feature_columns(names: list[str]) -> list[str]:
@@ -43,27 +46,27 @@ def columns_of(names: list[str], rung: str) -> list[str]:
     return [c for c in feature_columns(names) if any(p in c for p in parts)]
 
 
-def _fight_level(d: Dialect) -> str:
+def fight_level(sided: tuple[str, ...] = SIDED, shared: tuple[str, ...] = SHARED) -> Part:
     """One row a bout: features of both sides, those of the pair, the outcome."""
-    both = [f"max(CASE WHEN w.side = {i} THEN w.{c} END) AS {c}_{s}" for c in SIDED for i, s in enumerate("ab")]
-    pair = [f"max(CASE WHEN w.side = 0 THEN w.{c} END) AS {c}" for c in SHARED]
-    return f"""SELECT w.fight_url, max(w.event_url) AS event_url, max(w.event_date) AS event_date, max(b.a) AS fighter_url_a, max(b.b) AS fighter_url_b, max(b.weight_class) AS weight_class,
+    both = [f"max(CASE WHEN w.side = {i} THEN w.{c} END) AS {c}_{s}" for c in sided for i, s in enumerate("ab")]
+    pair = [f"max(CASE WHEN w.side = 0 THEN w.{c} END) AS {c}" for c in shared]
+    return "fight_level", lambda d: f"""SELECT w.fight_url, max(w.event_url) AS event_url, max(w.event_date) AS event_date, max(b.a) AS fighter_url_a, max(b.b) AS fighter_url_b, max(b.weight_class) AS weight_class,
   max({OUTCOME}) AS outcome, {columns(both, pair)} FROM wide w JOIN bouts b ON w.fight_url = b.fight_url GROUP BY w.fight_url"""
 
 
 OUTCOME = "CASE WHEN b.winner = b.a THEN 'win_a' WHEN b.winner = b.b THEN 'win_b' WHEN upper(b.method) LIKE '%DRAW%' THEN 'draw' ELSE 'nc' END"
-FIGHT_LEVEL: Part = ("fight_level", _fight_level)
+FIGHT_LEVEL = fight_level()
 
 
-def matrix(mirrored: bool = False) -> Part:
+def matrix(mirrored: bool = False, sided: tuple[str, ...] = SIDED, shared: tuple[str, ...] = SHARED) -> Part:
     """Two rows a decided bout, labels y and 1 - y. As given, both rows have the
     same features; ``mirrored`` swaps the sides in the second instead."""
 
     def sql(d: Dialect) -> str:
         turn = lambda c, s, t: f"CASE WHEN orientation = 1 THEN {c}_{t} ELSE {c}_{s} END AS {c}_{s}"
-        sided = [turn(c, s, t) for c in SIDED for s, t in ("ab", "ba")] if mirrored else [f"{c}_{s}" for c in SIDED for s in "ab"]
-        pair = [f"CASE WHEN orientation = 1 THEN -{c} ELSE {c} END AS {c}" for c in SHARED] if mirrored else list(SHARED)
-        return f"""SELECT fight_url, event_date, orientation, CAST(CASE WHEN (outcome = 'win_a') = (orientation = 0) THEN 1 ELSE 0 END AS DOUBLE) AS label, {columns(sided, pair)}
+        both = [turn(c, s, t) for c in sided for s, t in ("ab", "ba")] if mirrored else [f"{c}_{s}" for c in sided for s in "ab"]
+        pair = [f"CASE WHEN orientation = 1 THEN -{c} ELSE {c} END AS {c}" for c in shared] if mirrored else list(shared)
+        return f"""SELECT fight_url, event_date, orientation, CAST(CASE WHEN (outcome = 'win_a') = (orientation = 0) THEN 1 ELSE 0 END AS DOUBLE) AS label, {columns(both, pair)}
 FROM fight_level {d.sides('orientation')} WHERE outcome IN ('win_a', 'win_b')"""
 
     return "matrix", sql

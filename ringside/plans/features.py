@@ -249,12 +249,43 @@ def family_part(name: str, digits: int | None = None) -> Part:
     return name, sql
 
 
-def wide_part(digits: int | None = None) -> Part:
+MAIN_CARD = 5
+CARD_COLUMNS = {
+    "sig_strikes_main_card_avg": "main_sig", "sig_strikes_prelim_avg": "prelim_sig", "td_rate_main_card_avg": "main_td", "td_rate_prelim_avg": "prelim_td",
+    "grappling_abandonment_delta": "main_gr - prelim_gr",
+    "output_variance_by_position": "CASE WHEN n >= 3 THEN (main_sig - prelim_sig) * (main_sig - prelim_sig) / 4 END",
+}
+
+
+def _card(d: Dialect) -> str:
+    """Averages over the contestant's earlier bouts by their place on the card:
+    the five highest bout orders against the rest (ties: the earlier bout). NULL
+    where the bout's own order isn't known."""
+    both = [f"avg(CASE WHEN place <= {MAIN_CARD} THEN {c} END) AS main_{c}, avg(CASE WHEN place > {MAIN_CARD} THEN {c} END) AS prelim_{c}" for c in ("sig", "td", "gr")]
+    return f"""SELECT fight_url, side, count(past) AS n, {columns(both)}
+FROM (SELECT c.fight_url, c.side, h.fight_url AS past, h.r_sig_strikes_per_min AS sig, h.r_td_per_15min AS td, h.r_grappling_dominance AS gr,
+  row_number() OVER (PARTITION BY c.fight_url, c.side ORDER BY h.bout_order DESC, h.tick, h.fight_url) AS place
+  FROM posted c LEFT JOIN posted h ON h.fighter = c.fighter AND h.tick < c.tick AND h.bout_order IS NOT NULL AND h.has AND c.bout_order IS NOT NULL) placed
+GROUP BY fight_url, side"""
+
+
+CARD: Part = ("card", _card)
+
+
+def shown_card(digits: int | None) -> list[str]:
+    return [_shown(n, c, digits) for n, c in CARD_COLUMNS.items()]
+
+
+def wide_part(digits: int | None = None, card: bool = False) -> Part:
+    """All families of a side in one row; ``card`` adds those of ``CARD``."""
+
     def sql(d: Dialect) -> str:
         shown = []
         for family in FAMILIES.values():
             shown += [_shown(n, c, digits) for n, c in family(d).items()]
-        return f"SELECT fight_url, event_url, CAST(event_date AS VARCHAR(10)) AS event_date, side, fighter, opponent, {columns(shown)} FROM framed"
+        shown += shown_card(digits) if card else []
+        source = "framed LEFT JOIN card USING (fight_url, side)" if card else "framed"
+        return f"SELECT fight_url, event_url, CAST(event_date AS VARCHAR(10)) AS event_date, side, fighter, opponent, {columns(shown)} FROM {source}"
 
     return "wide", sql
 

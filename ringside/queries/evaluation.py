@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as op
 from ..operators import model
+from ..operators.lineage import kept
 from ..plans import evaluation as E
 from ..plans import features as feats
 from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
 from ..plans.dialect import Plan
 from ..plans.replay import REPLAY
 from .base import Registry, tables
+from .ratings import rated_features
 
 _r = Registry()
 _PREDS = Plan((E.PREDICTIONS,))
@@ -66,17 +68,27 @@ _r.plan("model_exclusions", FROM_SALES.then(model.EXCLUSIONS), *SALES)
 _r.plan("symmetric_inference", _WIDE.then(model.FIGHT_LEVEL, model.SYMMETRIC), *SALES, "supplier")
 
 
+def _rated_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training matrix with ratings and prestige."""
+    bouts, wide = rated_features(spark, sf_dir)
+    level, rows = model.fight_level(model.SIDED_RATED, model.SHARED_RATED), model.matrix(sided=model.SIDED_RATED, shared=model.SHARED_RATED)
+    given = Plan((("wide", lambda d: "SELECT * FROM " + d.table("wide_given")), ("bouts", lambda d: "SELECT * FROM " + d.table("bouts_given"))))
+    return given.then(level, rows).run(spark, {"wide_given": wide, "bouts_given": bouts})
+
+
 def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _WIDE.then(model.FIGHT_LEVEL, ("out", lambda d: "SELECT * FROM fight_level")).run(spark, tables(spark, sf_dir, *SALES, "supplier")).columns
+    """Columns of the rated matrix by rung."""
+    names = [f"{c}_{s}" for c in model.SIDED_RATED for s in "ab"] + list(model.SHARED_RATED)
     return spark.createDataFrame([(r, c) for r in model.RUNGS for c in model.columns_of(names, r)], "rung string, column_name string")
 
 
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on bouts before 2000, scored on the rest."""
-    rows = _WIDE.then(model.FIGHT_LEVEL, model.MATRIX).run(spark, tables(spark, sf_dir, *SALES, "supplier"))
+    rows = kept(_rated_matrix(spark, sf_dir))
     return model.trained(rows.where("event_date < '2000-01-01'"), rows.where("event_date >= '2000-01-01'"))
 
 
+_r.add("model_matrix_rated", lambda spark, sf_dir: _rated_matrix(spark, sf_dir))
 _r.add("model_rungs", rungs)
 _r.add("model_trained", trained)
 

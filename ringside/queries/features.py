@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans import features as F
 from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
-from ..plans.dialect import Dialect, Plan, columns, difference
+from ..plans.dialect import Dialect, columns
 from ..plans.replay import RATES, RECORD_ONLY, REPLAY, SUMS, VARIED
 from .base import Registry
 
@@ -39,7 +39,7 @@ _framed = FROM_SALES.then(FIGHTERS_FROM_SALES, *REPLAY, *F.FRAME_ALL)
 _r.plan("class_p75", FROM_SALES.then(FIGHTERS_FROM_SALES, *RECORD_ONLY, *F.LIMITS, ("out", lambda d: "SELECT CAST(yr AS BIGINT) AS yr, weight_class, reach_p75, height_p75 FROM class_limits")), *SALES, "supplier")
 for _name in F.FAMILIES:
     _r.plan(f"emit_{_name}", _framed.then(F.family_part(_name, 6)), *SALES, "supplier")
-_r.plan("features_wide", _framed.then(F.wide_part(6)), *SALES, "supplier")
+_r.plan("features_wide", _framed.then(F.CARD, F.wide_part(6, card=True)), *SALES, "supplier")
 
 
 def _pivoted(d: Dialect) -> str:
@@ -52,24 +52,8 @@ def _pivoted(d: Dialect) -> str:
 _r.plan("fight_pivot", _framed.then(F.wide_part(6), ("out", _pivoted)), *SALES, "supplier")
 
 
-def _card_position(d: Dialect) -> str:
-    """Averages over the contestant's earlier bouts by their place on the card:
-    the five highest bout orders against the rest (ties: the earlier bout)."""
-    return f"""SELECT fight_url, side, n, round(main_sig, 6) AS sig_strikes_main_card_avg, round(prelim_sig, 6) AS sig_strikes_prelim_avg,
-  round(main_td, 6) AS td_rate_main_card_avg, round(prelim_td, 6) AS td_rate_prelim_avg, {difference('main_gr - prelim_gr', 6)} AS grappling_abandonment_delta,
-  round(CASE WHEN n >= 3 THEN (main_sig - prelim_sig) * (main_sig - prelim_sig) / 4 END, 6) AS output_variance_by_position
-FROM (SELECT fight_url, side, count(past) AS n,
-  avg(CASE WHEN place <= 5 THEN sig END) AS main_sig, avg(CASE WHEN place > 5 THEN sig END) AS prelim_sig,
-  avg(CASE WHEN place <= 5 THEN td END) AS main_td, avg(CASE WHEN place > 5 THEN td END) AS prelim_td,
-  avg(CASE WHEN place <= 5 THEN gr END) AS main_gr, avg(CASE WHEN place > 5 THEN gr END) AS prelim_gr
-  FROM (SELECT c.fight_url, c.side, h.fight_url AS past, h.r_sig_strikes_per_min AS sig, h.r_td_per_15min AS td, h.r_grappling_dominance AS gr,
-    row_number() OVER (PARTITION BY c.fight_url, c.side ORDER BY h.bout_order DESC, h.tick, h.fight_url) AS place
-    FROM posted c LEFT JOIN posted h ON h.fighter = c.fighter AND h.tick < c.tick AND h.bout_order IS NOT NULL AND h.has
-    WHERE c.bout_order IS NOT NULL) placed
-  GROUP BY fight_url, side) sums"""
-
-
-_r.plan("emit_card_position", FROM_SALES.then(*REPLAY[:3], ("out", _card_position)), *SALES)
+_carded = FROM_SALES.then(*REPLAY[:3], F.CARD, ("out", lambda d: f"SELECT fight_url, side, {columns(F.shown_card(6))} FROM card"))
+_r.plan("emit_card_position", _carded, *SALES)
 
 
 def _sparse(d: Dialect) -> str:

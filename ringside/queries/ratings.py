@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import pagerank, ratings
 from ..operators.lineage import kept
+from ..plans import features as feats
 from ..plans import opponents
-from ..plans.bouts import FROM_SALES
-from ..plans.dialect import Duck
-from ..plans.replay import RECORD_ONLY
+from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
+from ..plans.dialect import Duck, Plan
+from ..plans.replay import RECORD_ONLY, REPLAY
 from .base import Registry, staged, tables
 
 _r = Registry()
@@ -86,28 +87,51 @@ _r.add("pagerank_ticks", pagerank_ticks)
 _r.add("pagerank_asof", pagerank_asof, _PAGERANK_SQL)
 
 
-def emit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_family(bouts: DataFrame, common: DataFrame) -> DataFrame:
     """The 13 columns of the graph family, for both sides of every bout: ratings
     before the tick, prestige at the start of the span the bout is in, and common
     opponents seen from the side."""
-    bouts = kept(_bouts(spark, sf_dir))
-    both = ratings.rated(bouts)
+    both = kept(ratings.rated(bouts))
     asked = _asked(bouts, 365)
     prestige = pagerank.ranked(*pagerank.graphs(bouts, asked)).select("as_of", F.col("node").alias("fighter"), F.col("score").alias("pagerank_score"))
-    common = staged(_COMMON, *SALES)(spark, sf_dir)
     spans = bouts.groupBy(F.floor(F.col("day") / 365).alias("span")).agg(F.min("tick").alias("as_of"))
     rows = bouts.select("fight_url", F.floor(F.col("day") / 365).alias("span"), F.posexplode(F.array("a", "b")).alias("side", "fighter")).join(F.broadcast(spans), "span")
     rows = rows.join(ratings.elo_of(both), ["fight_url", "fighter"], "left").join(ratings.glicko_of(both), ["fight_url", "fighter"], "left")
     rows = rows.join(prestige, ["as_of", "fighter"], "left").join(common, "fight_url")
     swap = lambda x, y: F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y))
-    return _rounded(rows.select(
+    return rows.select(
         "fight_url", F.col("side").cast("int").alias("side"), "elo_rating", "elo_peak", "elo_current_vs_peak", "elo_trajectory_last5", "glicko2_rating", "glicko2_rd", "pagerank_score", "n_common_opponents",
         swap("common_opp_score_a", "common_opp_score_b").alias("common_opp_score_a"), swap("common_opp_score_b", "common_opp_score_a").alias("common_opp_score_b"),
         F.when(F.col("side") == 0, F.col("common_opp_score_delta")).otherwise(-F.col("common_opp_score_delta")).alias("common_opp_score_delta"),
         swap("common_opp_a_win_rate", "common_opp_b_win_rate").alias("common_opp_a_win_rate"), swap("common_opp_b_win_rate", "common_opp_a_win_rate").alias("common_opp_b_win_rate"),
-    ))
+    )
+
+
+def emit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph_family(kept(_bouts(spark, sf_dir)), staged(_COMMON, *SALES)(spark, sf_dir)))
+
+
+def rated_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(bouts, features): all 123 columns of the twelve families, a row for each
+    side of each bout. The replay's come from one plan, the graph family's from the
+    operators, and the two rating differences from both sides of the latter."""
+    source = tables(spark, sf_dir, *SALES, "supplier")
+    bouts = kept(FROM_SALES.then(("out", lambda d: "SELECT * FROM bouts")).run(spark, source))
+    given = Plan((("bouts", lambda d: "SELECT * FROM " + d.table("bouts_kept")),))
+    source["bouts_kept"] = bouts
+    wide = given.then(FIGHTERS_FROM_SALES, *REPLAY, *feats.FRAME_ALL, feats.CARD, feats.wide_part(card=True)).run(spark, source)
+    graph = kept(graph_family(bouts, given.then(*_COMMON).run(spark, source)))
+    other = graph.select("fight_url", (1 - F.col("side")).alias("side"), F.col("elo_rating").alias("_elo"), F.col("pagerank_score").alias("_pagerank"))
+    rows = wide.join(graph.join(other, ["fight_url", "side"]), ["fight_url", "side"])
+    deltas = {"elo_delta": F.col("elo_rating") - F.col("_elo"), "pagerank_delta": F.col("pagerank_score") - F.col("_pagerank")}
+    return bouts, rows.withColumns(deltas).drop("_elo", "_pagerank")
+
+
+def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(rated_features(spark, sf_dir)[1])
 
 
+_r.add("features_all", features_all)
 _r.add("emit_graph", emit_graph)
 
 QUERIES, SQL = _r.queries, _r.sql
