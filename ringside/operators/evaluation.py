@@ -9,8 +9,7 @@ from datetime import date
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT, Vectors
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,11 +185,9 @@ def calibrated(fit: DataFrame, apply: DataFrame, guard: int = 250) -> DataFrame:
     if n < guard:
         raise ValueError(f"{n} rows to calibrate on; {guard} are needed")
     p = F.least(F.greatest("prob", F.lit(CLIP)), F.lit(1 - CLIP))
-    one = F.udf(lambda x: Vectors.dense([x]), VectorUDT())
-    two = F.udf(lambda x, y: Vectors.dense([x, y]), VectorUDT())
 
     def ready(df: DataFrame) -> DataFrame:
-        return df.withColumn("_logit", one(F.ln(p / (1 - p)))).withColumn("_pair", two(F.ln(p), -F.ln(1 - p)))
+        return df.withColumn("_logit", array_to_vector(F.array(F.ln(p / (1 - p))))).withColumn("_pair", array_to_vector(F.array(F.ln(p), -F.ln(1 - p))))
 
     fit = ready(fit).cache()
     logistic = lambda c: LogisticRegression(featuresCol=c, labelCol="label", regParam=0.0, maxIter=1000, tol=1e-10, standardization=False).fit(fit)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,10 +79,21 @@ def with_columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
 
 
+def recovered(spark: SparkSession, path: str) -> None:
+    """Put back the old version where a replace ended between its two renames."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p, o = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.old"))
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p) and fs.exists(o):
+        fs.rename(o, p)
+
+
 def replace(df: DataFrame, path: str) -> None:
     """Full replace: the new version is written beside the old and the old is
-    dropped only when that has ended."""
+    dropped only when that has ended. A run that ended in between is put right
+    by the next one, or by ``recovered``, which readers call."""
     spark = df.sparkSession
+    recovered(spark, path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(new)

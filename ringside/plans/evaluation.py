@@ -110,13 +110,14 @@ ARTIFACT = (("0.1-0.3", 0.1, 0.3, 50, 0.04), ("0.3-0.5", 0.3, 0.5, 80, 0.03), ("
 
 def gate(k: float = 2.0) -> Part:
     """Bucket of the model's probability (a boundary goes to the lower bucket,
-    what is outside to the nearest) and whether the mismatch exceeds k errors."""
+    what is outside to the nearest) and whether the mismatch exceeds k errors;
+    NO_BUCKET_DATA without a probability, or where nothing was seen in the bucket."""
 
     def sql(d: Dialect) -> str:
         dim = " UNION ALL ".join(f"SELECT {i} AS b, '{n}' AS bucket_id, {size} AS bucket_n, {_dbl(err)} AS err" for i, (n, _, _, size, err) in enumerate(ARTIFACT))
-        of = "CASE " + " ".join(f"WHEN prob <= {_dbl(hi)} THEN {i}" for i, (_, _, hi, _, _) in enumerate(ARTIFACT)) + f" ELSE {len(ARTIFACT) - 1} END"
-        return f"""SELECT p.doc_id, round(p.prob - p.market, 9) AS mismatch, a.bucket_id, a.bucket_n, CASE WHEN abs(p.prob - p.market) > {k} * a.err THEN 'FLAGGED' ELSE 'WITHIN_NOISE' END AS verdict
-FROM (SELECT *, {of} AS b FROM preds) p JOIN ({dim}) a ON p.b = a.b"""
+        of = "CASE WHEN prob IS NULL THEN NULL " + " ".join(f"WHEN prob <= {_dbl(hi)} THEN {i}" for i, (_, _, hi, _, _) in enumerate(ARTIFACT)) + f" ELSE {len(ARTIFACT) - 1} END"
+        return f"""SELECT p.doc_id, round(p.prob - p.market, 9) AS mismatch, a.bucket_id, a.bucket_n, CASE WHEN a.b IS NULL OR a.bucket_n = 0 THEN 'NO_BUCKET_DATA' WHEN abs(p.prob - p.market) > {k} * a.err THEN 'FLAGGED' ELSE 'WITHIN_NOISE' END AS verdict
+FROM (SELECT *, {of} AS b FROM preds) p LEFT JOIN ({dim}) a ON p.b = a.b"""
 
     return "gate", sql
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .operators.stores import recovered
+
 _STATS = (
     "knockdowns int, significant_strikes_landed int, significant_strikes_attempted int, total_strikes_landed int, total_strikes_attempted int, "
     "takedowns_landed int, takedowns_attempted int, submission_attempts int, reversals int, control_time_seconds int, scraped_at timestamp_ntz"
@@ -96,6 +98,7 @@ def opened(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = {}
     for name, t in TABLES.items():
+        recovered(spark, f"{root}/{name}")
         path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
         there = path.getFileSystem(conf).exists(path)
         out[name] = conformed(spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}"), name) if there else spark.createDataFrame([], t.schema)

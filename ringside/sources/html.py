@@ -15,6 +15,8 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Positions of the statistics in their tables. Fixed values.
@@ -239,15 +241,27 @@ PARSERS: dict[str, tuple[Callable[[str | None], list[dict]], str]] = {
 }
 
 
-def pages_to_rows(pages: DataFrame, kind: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_url and the parser's columns, for every page once (by url)."""
+def parsed_pages(pages: DataFrame, kind: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_url, the parser's columns and ``error``: the rows of every page once
+    (by url; of several versions the least text), or what is wrong with it."""
     parse, schema = PARSERS[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{"page_url": u, **r} for u, h in zip(pdf["url"], pdf["html"], strict=True) for r in parse(h)]
+            rows = []
+            for u, h in zip(pdf["url"], pdf["html"], strict=True):
+                try:
+                    rows += [{"page_url": u, "error": None, **r} for r in parse(h)]
+                except Exception as e:  # a page of another make is a result
+                    rows.append({"page_url": u, "error": f"{type(e).__name__}: {e}"})
             if rows:
-                yield pd.DataFrame(rows)
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["page_url", *T.StructType.fromDDL(schema).names, "error"]
+    once = pages.selectExpr(f"{url_col} AS url", f"{html_col} AS html").groupBy("url").agg(F.min("html").alias("html"))
+    return once.mapInPandas(run, f"page_url string, {schema}, error string")
 
-    once = pages.selectExpr(f"{url_col} AS url", f"{html_col} AS html").dropDuplicates(["url"])
-    return once.mapInPandas(run, f"page_url string, {schema}")
+
+def pages_to_rows(pages: DataFrame, kind: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_url and the parser's columns, of the pages that can be read."""
+    return parsed_pages(pages, kind, url_col, html_col).where("error is null").drop("error")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import yaml
@@ -72,15 +73,21 @@ def fetched(urls: DataFrame, fetch: Callable[[str], str], column: str = "url") -
 
 
 def crawl(spark: SparkSession, start: str, fetch: Callable[[str], str]) -> dict[str, DataFrame]:
-    """events -> event -> fight -> fighter pages as parsed tables, each page once."""
-    listing, _ = fetched(spark.createDataFrame([(start,)], "url string"), fetch)
-    events, _ = fetched(html.pages_to_rows(listing, "events_list"), fetch, "event_url")
-    event_rows = html.pages_to_rows(events, "event")
-    fights, _ = fetched(event_rows.selectExpr("explode(fight_urls) AS url"), fetch)
-    fight_rows = html.pages_to_rows(fights, "fight")
-    people = fight_rows.selectExpr("explode(array(fighter_a_url, fighter_b_url)) AS url")
-    fighters, _ = fetched(people, fetch)
-    return {"event": event_rows, "fight": fight_rows, "fighter": html.pages_to_rows(fighters, "fighter")}
+    """events -> event -> fight -> fighter pages as parsed tables, each page once;
+    ``failed`` has (url, reason) of the pages that weren't had or couldn't be read."""
+    failed = []
+
+    def step(urls: DataFrame, kind: str, column: str = "url") -> DataFrame:
+        got, lost = fetched(urls, fetch, column)
+        rows = kept(html.parsed_pages(got, kind))
+        failed.extend([lost, rows.where("error is not null").selectExpr("page_url AS url", "error AS reason")])
+        return rows.where("error is null").drop("error")
+
+    events = step(spark.createDataFrame([(start,)], "url string"), "events_list")
+    event_rows = step(events, "event", "event_url")
+    fight_rows = step(event_rows.selectExpr("explode(fight_urls) AS url"), "fight")
+    fighters = step(fight_rows.selectExpr("explode(array(fighter_a_url, fighter_b_url)) AS url"), "fighter")
+    return {"event": event_rows, "fight": fight_rows, "fighter": fighters, "failed": reduce(DataFrame.unionByName, failed)}
 
 
 def routed(fight_rows: DataFrame) -> dict[str, DataFrame]:
