@@ -18,7 +18,10 @@ Defined results: rows with a null id, or whose vector is null or holds a null or
 non-finite component, take no part; a candidate with the query's id is the
 query's own; shorter vectors count as padded with zeros; an empty vector has
 product 0 with all; repeated query rows each get results, repeated candidates
-each take a place; ties go to the smaller id.
+each take a place; ties go to the smaller id; extra columns are ignored, an
+empty table gives an empty result. A component whose whole part needs more than
+64 bits saturates, and scores of 2^63 or more wrap: keep scale * |x| under 2^26
+for vectors of up to 512 components.
 """
 
 from __future__ import annotations
@@ -172,8 +175,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
                     if len(own) == k:
                         least[i] = own.min()
                 length = np.sqrt((q.astype(float) ** 2).sum(axis=1))
-                useful = (length[:, None] * longest[None, :] * (1 + 1e-9) + 1e-6 >= least[:, None]).any(axis=0)
-                upto = int(np.flatnonzero(useful).max(initial=0))
+                # blocks go by descending length: the last one that is of use to any query
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where(least <= 1e-6, -np.inf, (least - 1e-6) / (length * (1 + 1e-9)))
+                upto = max(0, int(np.searchsorted(-longest, -need.min(initial=np.inf), side="right")) - 1)
                 yield pa.RecordBatch.from_pydict({
                     "q_part": pa.array([part], pa.int64()), "q_no": pa.array([no], pa.int64()), "q_ids": pa.array([ids], pa.binary()),
                     "q_mat": pa.array([mat], pa.binary()), "least": pa.array([least.tobytes()], pa.binary()), "upto": pa.array([upto], pa.int64()),
