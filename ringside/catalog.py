@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import evaluation, features, market, parsing, quality, ratings, stores, streams
+from .queries import evaluation, features, market, pages, parsing, quality, ratings, stores, streams
 
-_MODULES = (features, quality, parsing, ratings, evaluation, market, stores, streams)
+_MODULES = (features, quality, parsing, pages, ratings, evaluation, market, stores, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,7 +28,11 @@ def scalar_stat_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctrl = F.when(k % 13 == 0, "--").otherwise(F.concat(F.lit(" "), (k % 5).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(" ")))
     height = F.when(k % 17 == 0, "--").otherwise(F.concat((5 + k % 2).cast("string"), F.lit("' "), (k % 12).cast("string"), F.lit('"')))
     both = cells.landed_attempted(pair)
+    reach = F.when(k % 19 == 0, "--").otherwise(F.concat((60 + k % 25).cast("string"), F.lit('"')))
+    items = F.array(F.concat(F.lit("Reach: "), reach), F.lit("no label"), F.concat(F.lit(" Stance : S"), (k % 3).cast("string"), F.lit(": x ")), F.lit("Weight: --"), F.lit("DOB:"))
+    known = cells.label_values(items)
     return p.select(
+        cells.reach_cm(reach).alias("reach_cm"), F.array_join(F.array_sort(F.map_keys(known)), ",").alias("labels"), known["Stance"].alias("stance"),
         "p_partkey", both["landed"].alias("landed"), both["attempted"].alias("attempted"), cells.control_seconds(ctrl).cast("double").alias("control_seconds"),
         cells.height_cm(height).alias("height_cm"), cells.weight_kg(F.concat((115 + k % 150).cast("string"), F.lit(" lbs."))).alias("weight_kg"),
         cells.to_int(F.concat(F.lit("-"), (k % 100).cast("string"))).alias("digits"), cells.clean(F.concat(F.lit("  "), F.col("p_name"), F.lit("\t\n x "))).alias("cleaned"),
@@ -39,7 +43,8 @@ _r.add("scalar_stat_cells", scalar_stat_cells, r"""
 SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_partkey % 90 END::INT AS landed, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_partkey % 90 + p_partkey % 7 END::INT AS attempted,
   CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey % 5 * 60 + p_partkey % 60)::DOUBLE END AS control_seconds,
   CASE WHEN p_partkey % 17 <> 0 THEN round_even(((5 + p_partkey % 2) * 12 + p_partkey % 12) * 2.54::DOUBLE, 1) END AS height_cm,
-  round_even((115 + p_partkey % 150) * 0.45359237::DOUBLE, 1) AS weight_kg, (p_partkey % 100)::INT AS digits, trim(regexp_replace('  ' || p_name || chr(9) || chr(10) || ' x ', '\s+', ' ', 'g')) AS cleaned FROM part""")
+  CASE WHEN p_partkey % 19 <> 0 THEN round_even((60 + p_partkey % 25) * 2.54::DOUBLE, 1) END AS reach_cm, CASE WHEN p_partkey % 19 <> 0 THEN 'Reach,Stance' ELSE 'Stance' END AS labels,
+  'S' || p_partkey % 3 || ': x' AS stance, round_even((115 + p_partkey % 150) * 0.45359237::DOUBLE, 1) AS weight_kg, (p_partkey % 100)::INT AS digits, trim(regexp_replace('  ' || p_name || chr(9) || chr(10) || ' x ', '\s+', ' ', 'g')) AS cleaned FROM part""")
 
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
