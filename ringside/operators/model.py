@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Dialect, Part, columns
@@ -90,6 +92,22 @@ def _symmetric(d: Dialect) -> str:
 SYMMETRIC: Part = ("symmetric", _symmetric)
 
 
+class MissingScoreError(ValueError):
+    """A contestant of a pair has no score."""
+
+
+def predicted(fights: DataFrame, score: Callable[[str, str], Column], calibrate: Callable[[Column], Column] = lambda p: p) -> DataFrame:
+    """fight_url, canonical_a, canonical_b, p_canonical: the pair in the order of
+    its names, the raw score of either order averaged, then calibrated once.
+
+    ``score(s, t)`` is the probability that the contestant whose columns end in
+    ``_s`` beats the other; a bout for which it is NULL raises."""
+    first = F.col("fighter_url_a") <= F.col("fighter_url_b")
+    raw = F.when(first, (score("a", "b") + 1 - score("b", "a")) / 2).otherwise((score("b", "a") + 1 - score("a", "b")) / 2)
+    told = F.when(raw.isNull(), F.raise_error(F.concat(F.lit(f"{MissingScoreError.__name__}: "), "fight_url")).cast("double")).otherwise(calibrate(raw))
+    return fights.select("fight_url", F.least("fighter_url_a", "fighter_url_b").alias("canonical_a"), F.greatest("fighter_url_a", "fighter_url_b").alias("canonical_b"), told.alias("p_canonical"))
+
+
 def trained(train: DataFrame, test: DataFrame, rung: str = "domain_interactions", rounds: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
     """fight_url, orientation, label, prob of ``test`` by boosted trees fitted on
     ``train``. The trees know no missing values: each is replaced by 0 and told

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as op
-from ..operators import model
+from ..operators import model, search
 from ..operators.lineage import kept
 from ..plans import evaluation as E
 from ..plans import features as feats
 from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
-from ..plans.dialect import Plan
+from ..plans.dialect import Duck, Plan
 from ..plans.replay import REPLAY
 from .base import Registry, tables
 from .ratings import rated_features
@@ -65,7 +65,22 @@ _r.add("folds", folds)
 _WIDE = FROM_SALES.then(FIGHTERS_FROM_SALES, *REPLAY, *feats.FRAME_ALL, feats.wide_part(6))
 _r.plan("model_matrix", _WIDE.then(model.FIGHT_LEVEL, model.MATRIX), *SALES, "supplier")
 _r.plan("model_exclusions", FROM_SALES.then(model.EXCLUSIONS), *SALES)
-_r.plan("symmetric_inference", _WIDE.then(model.FIGHT_LEVEL, model.SYMMETRIC), *SALES, "supplier")
+
+
+def symmetric_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic score with a bias to the first side, handed to the operator."""
+    level = _WIDE.then(model.FIGHT_LEVEL, ("out", lambda d: "SELECT * FROM fight_level")).run(spark, tables(spark, sf_dir, *SALES, "supplier"))
+    known = lambda c, other: F.coalesce(F.col(c), F.lit(other))
+
+    def score(s: str, t: str):
+        z = (known(f"win_pct_all_{s}", 0.5) - known(f"win_pct_all_{t}", 0.5)) * 2 + (known(f"current_streak_{s}", 0.0) - known(f"current_streak_{t}", 0.0)) / 10 + 0.1
+        return 1 / (1 + F.exp(-z))
+
+    rows = model.predicted(level, score)
+    return rows.withColumn("p_canonical", F.round("p_canonical", 9))
+
+
+_r.add("symmetric_inference", symmetric_inference, _WIDE.then(model.FIGHT_LEVEL, model.SYMMETRIC).text(Duck()))
 
 
 def _rated_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +103,19 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.trained(rows.where("event_date < '2000-01-01'"), rows.where("event_date >= '2000-01-01'"))
 
 
+def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve candidates on all folds of the rated matrix, ranked."""
+    rows = _rated_matrix(spark, sf_dir)
+    plan = FROM_SALES.then(("out", lambda d: "SELECT fight_url, event_url, event_date FROM bouts"))
+    bouts = kept(plan.run(spark, tables(spark, sf_dir, *SALES)))
+    events = bouts.groupBy("event_url", "event_date").agg(F.count("*").cast("int").alias("n_fights"))
+    parts = rows.join(bouts.select("fight_url", "event_url"), "fight_url").join(op.fold_table(spark, events), "event_url")
+    names = model.columns_of(rows.columns, "domain_interactions")
+    out = search.ranked(kept(search.searched(parts, names)))
+    return out.select("candidate", "folds", *[F.round(f"mean_{c}", 6).alias(f"mean_{c}") for c in ("brier", "log_loss", "ece")], "place")
+
+
+_r.add("model_search", model_search)
 _r.add("model_matrix_rated", lambda spark, sf_dir: _rated_matrix(spark, sf_dir))
 _r.add("model_rungs", rungs)
 _r.add("model_trained", trained)
