@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
 from ..streaming import capture as S
 from .base import Registry
 
@@ -16,8 +16,7 @@ _r = Registry()
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all machines share, for checkpoints and results."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ringside-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _table(spark: SparkSession, sf_dir: str, build, mode: str = "complete") -> DataFrame:

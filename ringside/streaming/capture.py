@@ -32,9 +32,17 @@ def quotes(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("token_id"), F.col("ts").alias("captured_at"), (100 + F.floor(F.col("value") * 19.6)).cast("long").alias("mid"))
 
 
-def capture(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+#: How often quotes are captured. Fixed value.
+EVERY = "5 minutes"
+
+
+def capture(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append each new (token_id, captured_at) once; idempotent when a batch is
-    run again. Rows without a token or time go to ``out``/bad."""
+    run again. Rows without a token or time go to ``out``/bad.
+
+    ``every``: the time between batches (``EVERY`` in production); without it
+    what is there now is taken and the query ends. ``capture_counts`` has how
+    many rows of each batch were kept and bad."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -52,7 +60,16 @@ def capture(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         fresh.write.mode("overwrite").parquet(f"{out}/good/batch={batch_id}")
         tagged.unpersist()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    pace = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**pace).start()
+
+
+def capture_counts(spark: SparkSession, out: str) -> DataFrame:
+    """batch, good, bad: the rows of each batch that were kept, and that had no
+    token or time."""
+    of = lambda kind, flag: spark.read.parquet(f"{out}/{kind}").select("batch", F.lit(flag).alias("good"))
+    both = of("good", True).unionByName(of("bad", False))
+    return both.groupBy("batch").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
 
 
 def windowed(stream: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
