@@ -145,25 +145,30 @@ class Glicko2:
         s[1], s[3], s[4] = phi_new * GLICKO_SCALE, day, s[4] + 1
 
 
+LAST = 2**31 - 1  # a tick after all others
 SYSTEMS = {"elo": Elo, "glicko2": Glicko2}
 
 
-def folded(rows: Iterator[tuple]) -> Iterator[tuple]:
+def folded(rows: Iterator[tuple], after_all: bool = False) -> Iterator[tuple]:
     """(system, league, tick, fight_url, day, a, b, winner, method), sorted ->
-    (system, fight_url, fighter, v0..v3) as known before each tick."""
+    (system, tick, fight_url, fighter, v0..v3) as known before each tick; with
+    ``after_all`` also each contestant's at the end of a league, at LAST without a bout."""
     for (system, _), of_league in groupby(rows, key=lambda r: r[:2]):
         state = SYSTEMS[system]()
         for _, at_tick in groupby(of_league, key=lambda r: r[2]):
             bouts = list(at_tick)
             for r in bouts:
                 for who in r[5:7]:
-                    yield (system, r[3], who, *state.seen(who))
+                    yield (system, r[2], r[3], who, *state.seen(who))
             for r in bouts:
                 state.apply(r[4], r[5], r[6], r[7], r[8])
+        for who in state.of if after_all else ():
+            yield (system, LAST, None, who, *state.seen(who))
 
 
-def rated(bouts: DataFrame, systems: tuple[str, ...] = ("elo", "glicko2"), league: str | None = None) -> DataFrame:
-    """system, fight_url, fighter and the system's values before the bout's tick."""
+def rated(bouts: DataFrame, systems: tuple[str, ...] = ("elo", "glicko2"), league: str | None = None, after_all: bool = False) -> DataFrame:
+    """system, tick, fight_url, fighter and the system's values before the bout's
+    tick; with ``after_all`` also those after all, at tick LAST without a bout."""
     rows = bouts.select(
         F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"), (F.col(league) if league else F.lit("")).alias("league"),
         "tick", "fight_url", F.col("day").cast("long").alias("day"), "a", "b", "winner", "method",
@@ -178,8 +183,8 @@ def rated(bouts: DataFrame, systems: tuple[str, ...] = ("elo", "glicko2"), leagu
                 yield pdf.itertuples(index=False, name=None)
 
         out: list[tuple] = []
-        names = ["system", "fight_url", "fighter", "v0", "v1", "v2", "v3"]
-        for row in folded(chain.from_iterable(each())):
+        names = ["system", "tick", "fight_url", "fighter", "v0", "v1", "v2", "v3"]
+        for row in folded(chain.from_iterable(each()), after_all):
             out.append(row)
             if len(out) >= 20_000:
                 yield pd.DataFrame(out, columns=names)
@@ -188,15 +193,15 @@ def rated(bouts: DataFrame, systems: tuple[str, ...] = ("elo", "glicko2"), leagu
             yield pd.DataFrame(out, columns=names)
 
     dealt = rows.repartition("system", "league").sortWithinPartitions(*keys)
-    return dealt.mapInPandas(run, "system string, fight_url string, fighter string, v0 double, v1 double, v2 double, v3 double")
+    return dealt.mapInPandas(run, "system string, tick int, fight_url string, fighter string, v0 double, v1 double, v2 double, v3 double")
 
 
 def elo_of(ratings: DataFrame) -> DataFrame:
-    return ratings.where("system = 'elo'").select(
+    return ratings.where("system = 'elo' and fight_url is not null").select(
         "fight_url", "fighter", F.col("v0").alias("elo_rating"), F.col("v1").alias("elo_peak"),
         F.try_divide("v0", "v1").alias("elo_current_vs_peak"), F.col("v2").alias("elo_trajectory_last5"),
     )
 
 
 def glicko_of(ratings: DataFrame) -> DataFrame:
-    return ratings.where("system = 'glicko2'").select("fight_url", "fighter", F.col("v0").alias("glicko2_rating"), F.col("v1").alias("glicko2_rd"))
+    return ratings.where("system = 'glicko2' and fight_url is not null").select("fight_url", "fighter", F.col("v0").alias("glicko2_rating"), F.col("v1").alias("glicko2_rd"))

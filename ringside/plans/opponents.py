@@ -17,18 +17,27 @@ YEARS, DECAY = 3, 0.4
 
 def _met(d: Dialect) -> str:
     cutoff = d.shifted_years("c.event_date", -YEARS)
-    return f"""SELECT c.fight_url, c.side, c.event_date, h.opponent AS opp,
+    return f"""SELECT c.fight_url, c.side, c.event_date, c.tick, h.opponent AS opp,
   max(CASE WHEN h.event_date >= {cutoff} THEN h.event_date END) AS last_day, CAST(sum(h.won) AS BIGINT) AS won, CAST(sum(h.won + h.lost) AS BIGINT) AS decided
 FROM flags c JOIN flags h ON h.fighter = c.fighter AND h.tick < c.tick
-WHERE h.opponent <> c.opponent GROUP BY c.fighter, c.fight_url, c.side, c.event_date, h.opponent
+WHERE h.opponent <> c.opponent GROUP BY c.fighter, c.fight_url, c.side, c.event_date, c.tick, h.opponent
 HAVING max(CASE WHEN h.event_date >= {cutoff} THEN h.event_date END) IS NOT NULL"""
 
 
-def _shared(d: Dialect) -> str:
+def _recency(d: Dialect) -> str:
     decay = lambda day: f"exp(-CAST({DECAY} AS DOUBLE) * ({d.days('a.event_date', day)} / CAST(365.25 AS DOUBLE)))"
+    return f"({decay('a.last_day')} + {decay('b.last_day')}) / 2"
+
+
+def _unweighed(d: Dialect) -> str:
+    return f"""SELECT a.fight_url, a.tick, a.opp, {_recency(d)} AS recency, a.won AS won_a, a.decided AS decided_a, b.won AS won_b, b.decided AS decided_b
+FROM met a JOIN met b ON a.fight_url = b.fight_url AND a.opp = b.opp AND a.side = 0 AND b.side = 1"""
+
+
+def _shared(d: Dialect) -> str:
     return f"""SELECT a.fight_url, a.opp,
   (CASE WHEN coalesce(q.elo, 1500) > 1000 THEN CAST(0.5 AS DOUBLE) * (coalesce(q.elo, CAST(1500 AS DOUBLE)) - 1000) / 1000 ELSE 0 END
-    + CAST(0.5 AS DOUBLE) * coalesce(q.pagerank, CAST(0 AS DOUBLE))) * ({decay('a.last_day')} + {decay('b.last_day')}) / 2 AS weight,
+    + CAST(0.5 AS DOUBLE) * coalesce(q.pagerank, CAST(0 AS DOUBLE))) * {_recency(d)} AS weight,
   a.won AS won_a, a.decided AS decided_a, b.won AS won_b, b.decided AS decided_b
 FROM met a JOIN met b ON a.fight_url = b.fight_url AND a.opp = b.opp AND a.side = 0 AND b.side = 1
 LEFT JOIN quality q ON q.fighter = a.opp"""
@@ -44,4 +53,6 @@ ON b.fight_url = s.fight_url"""
 
 
 NO_QUALITY: Part = ("quality", lambda d: "SELECT CAST(NULL AS VARCHAR(20)) AS fighter, CAST(NULL AS DOUBLE) AS elo, CAST(NULL AS DOUBLE) AS pagerank")
+#: Shared opponents without their quality, for ``operators.opponents``.
+UNWEIGHED: tuple[Part, ...] = (("met", _met), ("unweighed", _unweighed))
 COMMON: tuple[Part, ...] = (("met", _met), ("shared", _shared), ("common", _common))

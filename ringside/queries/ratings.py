@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import opponents as quality
 from ..operators import pagerank, ratings
 from ..operators.lineage import kept
 from ..plans import features as feats
@@ -80,6 +81,7 @@ FROM pr WHERE k = 20"""
 )
 
 _COMMON = (*RECORD_ONLY, opponents.NO_QUALITY, *opponents.COMMON[:-1], ("out", opponents.COMMON[-1][1]))
+_SHARED = (*RECORD_ONLY, *opponents.UNWEIGHED)
 _r.staged("common_opponents", _COMMON, *SALES)
 _r.add("elo", elo)
 _r.add("glicko2", glicko2)
@@ -87,13 +89,16 @@ _r.add("pagerank_ticks", pagerank_ticks)
 _r.add("pagerank_asof", pagerank_asof, _PAGERANK_SQL)
 
 
-def graph_family(bouts: DataFrame, common: DataFrame) -> DataFrame:
+def graph_family(bouts: DataFrame, shared: DataFrame) -> DataFrame:
     """The 13 columns of the graph family, for both sides of every bout: ratings
     before the tick, prestige at the start of the span the bout is in, and common
-    opponents seen from the side."""
-    both = kept(ratings.rated(bouts))
+    opponents, weighed by those of theirs, seen from the side."""
+    both = kept(ratings.rated(bouts, after_all=True))
     asked = _asked(bouts, 365)
     prestige = pagerank.ranked(*pagerank.graphs(bouts, asked)).select("as_of", F.col("node").alias("fighter"), F.col("score").alias("pagerank_score"))
+    prestige = kept(prestige)
+    known = both.where("system = 'elo' and v0 is not null").select("fighter", "tick", F.col("v0").alias("elo"))
+    common = quality.common(bouts, shared, known, prestige.select("fighter", F.col("as_of").alias("tick"), F.col("pagerank_score").alias("score")))
     spans = bouts.groupBy(F.floor(F.col("day") / 365).alias("span")).agg(F.min("tick").alias("as_of"))
     rows = bouts.select("fight_url", F.floor(F.col("day") / 365).alias("span"), F.posexplode(F.array("a", "b")).alias("side", "fighter")).join(F.broadcast(spans), "span")
     rows = rows.join(ratings.elo_of(both), ["fight_url", "fighter"], "left").join(ratings.glicko_of(both), ["fight_url", "fighter"], "left")
@@ -108,7 +113,7 @@ def graph_family(bouts: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def emit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(graph_family(kept(_bouts(spark, sf_dir)), staged(_COMMON, *SALES)(spark, sf_dir)))
+    return _rounded(graph_family(kept(_bouts(spark, sf_dir)), staged(_SHARED, *SALES)(spark, sf_dir)))
 
 
 def rated_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +125,7 @@ def rated_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     given = Plan((("bouts", lambda d: "SELECT * FROM " + d.table("bouts_kept")),))
     source["bouts_kept"] = bouts
     wide = given.then(FIGHTERS_FROM_SALES, *REPLAY, *feats.FRAME_ALL, feats.CARD, feats.wide_part(card=True)).run(spark, source)
-    graph = kept(graph_family(bouts, given.then(*_COMMON).run(spark, source)))
+    graph = kept(graph_family(bouts, given.then(*_SHARED).run(spark, source)))
     other = graph.select("fight_url", (1 - F.col("side")).alias("side"), F.col("elo_rating").alias("_elo"), F.col("pagerank_score").alias("_pagerank"))
     rows = wide.join(graph.join(other, ["fight_url", "side"]), ["fight_url", "side"])
     deltas = {"elo_delta": F.col("elo_rating") - F.col("_elo"), "pagerank_delta": F.col("pagerank_score") - F.col("_pagerank")}
