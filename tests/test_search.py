@@ -59,5 +59,5 @@ def test_symmetric_prediction(spark):
     df = spark.createDataFrame([("f", "x", "y", 0.9, 0.3), ("g", "y", "x", 0.3, 0.9)], "fight_url string, fighter_url_a string, fighter_url_b string, v_a double, v_b double")
     got = {r.fight_url: r for r in model.predicted(df, lambda s, t: F.col(f"v_{s}"), lambda p: p * p).collect()}
     assert got["f"].p_canonical == got["g"].p_canonical == pytest.approx(((0.9 + 1 - 0.3) / 2) ** 2) and got["g"].canonical_a == "x"
-    with pytest.raises(Exception, match="MissingScoreError: f"):
+    with pytest.raises(Exception, match="MissingScoreError: [fg]"):
         model.predicted(df.withColumn("v_a", F.lit(None).cast("double")), lambda s, t: F.col(f"v_{s}")).collect()
