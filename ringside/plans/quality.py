@@ -1,8 +1,8 @@
 """Data-quality invariants over the canonical tables.
 
-They catch what can't be, never what is missing. Each stats table is scanned
-once: its column checks are unpivoted from the row instead of being one query a
-column. All findings have the same five columns: table_name, row_key,
+They catch what can't be, never what is missing. Each invariant scans a stats
+table once: rows without a finding are filtered at the scan, and only the rest
+are dated and their column checks unpivoted. All findings have the same five columns: table_name, row_key,
 reason_code, detail, event_date (as text, NULL where none is known).
 """
 
@@ -55,9 +55,10 @@ def landed_gt_attempted(d: Dialect) -> str:
         names = SPLITS if table == "sig_strike_breakdowns" else PAIRS
         items = [d.pack(n=f"'{n}'", l=f"t.{n}_landed", a=f"t.{n}_attempted") for n in names]
         detail = f"c.n || '_landed=' || {_text('c.l')} || ' > ' || c.n || '_attempted=' || {_text('c.a')}"
+        some = " OR ".join(f"t.{n}_landed > t.{n}_attempted" for n in names)
         out.append(
             f"SELECT {_found(table, 'row_key', 'LANDED_GT_ATTEMPTED', detail, 'event_day')} FROM (SELECT {_key(table)} AS row_key, e.date AS event_day, c "
-            f"FROM {_dated(d, table)} {d.each(items, 'c')}) x WHERE c.l > c.a"
+            f"FROM {_dated(d, table)} {d.each(items, 'c')} WHERE {some}) x WHERE c.l > c.a"
         )
     return "\nUNION ALL\n".join(out)
 
@@ -67,9 +68,10 @@ def negative_stat(d: Dialect) -> str:
     for table in STATS_TABLES:
         items = [d.pack(n=f"'{n}'", v=f"t.{n}") for n in COUNT_COLUMNS[table]]
         detail = f"c.n || '=' || {_text('c.v')} || ' is negative'"
+        some = " OR ".join(f"t.{n} < 0" for n in COUNT_COLUMNS[table])
         out.append(
             f"SELECT {_found(table, 'row_key', 'NEGATIVE_STAT', detail, 'event_day')} FROM (SELECT {_key(table)} AS row_key, e.date AS event_day, c "
-            f"FROM {_dated(d, table)} {d.each(items, 'c')}) x WHERE c.v < 0"
+            f"FROM {_dated(d, table)} {d.each(items, 'c')} WHERE {some}) x WHERE c.v < 0"
         )
     return "\nUNION ALL\n".join(out)
 
@@ -78,11 +80,11 @@ def round_sum_mismatch(d: Dialect) -> str:
     sums = [f"CAST(sum(r.{c}) AS BIGINT) AS r_{c}, any_value(t.{c}) AS t_{c}" for c in SUM_COLUMNS]
     differ = " OR ".join(f"r_{c} <> t_{c}" for c in SUM_COLUMNS)
     pieces = ", ".join(f"CASE WHEN r_{c} <> t_{c} THEN '{c}: rounds=' || {_text(f'r_{c}')} || ' totals=' || {_text(f't_{c}')} END" for c in SUM_COLUMNS)
-    return f"""SELECT {_found('round_stats', "fight_url || '|' || fighter_url", 'ROUND_SUM_MISMATCH', f"concat_ws('; ', {pieces})", 'event_day')}
-FROM (SELECT r.fight_url, r.fighter_url, any_value(e.date) AS event_day, {columns(sums)}
+    return f"""SELECT {_found('round_stats', "s.fight_url || '|' || s.fighter_url", 'ROUND_SUM_MISMATCH', f"concat_ws('; ', {pieces})", 'e.date')}
+FROM (SELECT r.fight_url, r.fighter_url, {columns(sums)}
   FROM {d.table('round_stats')} r JOIN {d.table('fight_totals')} t ON r.fight_url = t.fight_url AND r.fighter_url = t.fighter_url
-  JOIN {d.table('fights')} f ON r.fight_url = f.fight_url JOIN {d.table('contests')} e ON f.event_url = e.event_url
-  GROUP BY r.fight_url, r.fighter_url) s WHERE {differ}"""
+  GROUP BY r.fight_url, r.fighter_url) s
+JOIN {d.table('fights')} f ON s.fight_url = f.fight_url JOIN {d.table('contests')} e ON f.event_url = e.event_url WHERE {differ}"""
 
 
 def breakdown_mismatch(d: Dialect) -> str:
@@ -123,10 +125,11 @@ def ending_round_invalid(d: Dialect) -> str:
 def measurement_out_of_range(d: Dialect) -> str:
     items = [d.pack(n=f"'{n}'", v=f"t.{n}", lo=str(lo), hi=str(hi)) for n, (lo, hi) in RANGES.items()]
     detail = f"c.n || '=' || {_text('c.v')} || ' outside [' || {_text('c.lo')} || ', ' || {_text('c.hi')} || ']'"
+    some = " OR ".join(f"t.{n} < {lo} OR t.{n} > {hi}" for n, (lo, hi) in RANGES.items())
     last = f"""SELECT fighter_url, max(e.date) AS last_day FROM (SELECT CASE WHEN side = 0 THEN fighter_a_url ELSE fighter_b_url END AS fighter_url, event_url FROM {d.table('fights')} {d.sides('side')}) x
   JOIN {d.table('contests')} e ON x.event_url = e.event_url GROUP BY fighter_url"""
     return f"""SELECT {_found('fighters', 'y.fighter_url', 'MEASUREMENT_OUT_OF_RANGE', detail, 'l.last_day')}
-FROM (SELECT t.fighter_url, c FROM {d.table('fighters')} t {d.each(items, 'c')}) y LEFT JOIN ({last}) l ON y.fighter_url = l.fighter_url
+FROM (SELECT t.fighter_url, c FROM {d.table('fighters')} t {d.each(items, 'c')} WHERE {some}) y LEFT JOIN ({last}) l ON y.fighter_url = l.fighter_url
 WHERE c.v IS NOT NULL AND (c.v < c.lo OR c.v > c.hi)"""
 
 
