@@ -13,6 +13,7 @@ from ..plans import features as feats
 from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
 from ..plans.dialect import Duck, Plan
 from ..plans.replay import REPLAY
+from . import apart
 from .base import Registry, tables
 from .ratings import rated_features
 
@@ -38,7 +39,8 @@ def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _PREDS.then(E.RELIABILITY).run(spark, tables(spark, sf_dir, *_DOCS))
-    return op.with_interval(rows, "n_won", "n_fights")
+    rows = op.with_interval(rows, "n_won", "n_fights")
+    return rows.withColumns({c: F.round(c, 9) for c in ("ci_lower", "ci_upper")})
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +59,10 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.fold_table(spark, plan.run(spark, tables(spark, sf_dir, *SALES)))
 
 
-_r.add("clopper_pearson", clopper_pearson)
+_r.add("clopper_pearson", clopper_pearson, apart.SQL["clopper_pearson"])
 _r.add("bootstrap_ci", bootstrap_ci)
 _r.add("calibration", calibration)
-_r.add("folds", folds)
+_r.add("folds", folds, apart.SQL["folds"])
 
 _WIDE = FROM_SALES.then(FIGHTERS_FROM_SALES, *REPLAY, *feats.FRAME_ALL, feats.wide_part(6))
 _r.plan("model_matrix", _WIDE.then(model.FIGHT_LEVEL, model.MATRIX), *SALES, "supplier")
@@ -117,7 +119,7 @@ def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _r.add("model_search", model_search)
 _r.add("model_matrix_rated", lambda spark, sf_dir: _rated_matrix(spark, sf_dir))
-_r.add("model_rungs", rungs)
+_r.add("model_rungs", rungs, apart.SQL["model_rungs"])
 _r.add("model_trained", trained)
 
 QUERIES, SQL = _r.queries, _r.sql

@@ -13,6 +13,7 @@ from ..plans import opponents
 from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
 from ..plans.dialect import Duck, Plan
 from ..plans.replay import RECORD_ONLY, REPLAY
+from . import apart
 from .base import Registry, staged, tables
 
 _r = Registry()
@@ -83,8 +84,8 @@ FROM pr WHERE k = 20"""
 _COMMON = (*RECORD_ONLY, opponents.NO_QUALITY, *opponents.COMMON[:-1], ("out", opponents.COMMON[-1][1]))
 _SHARED = (*RECORD_ONLY, *opponents.UNWEIGHED)
 _r.staged("common_opponents", _COMMON, *SALES)
-_r.add("elo", elo)
-_r.add("glicko2", glicko2)
+_r.add("elo", elo, apart.SQL["elo"])
+_r.add("glicko2", glicko2, apart.SQL["glicko2"])
 _r.add("pagerank_ticks", pagerank_ticks)
 _r.add("pagerank_asof", pagerank_asof, _PAGERANK_SQL)
 

@@ -12,6 +12,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
+LARGER = {"folds": "/root/testdata/sf0.01"}  # the smallest tables hold too few bouts for two folds
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables aren't here")
 SQL = entry.oracle_sql()
@@ -19,10 +20,13 @@ SQL = entry.oracle_sql()
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    return con
+    def over(data: str) -> duckdb.DuckDBPyConnection:
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+        return con
+
+    return over
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
@@ -36,11 +40,18 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, name):
-    got, want = entry.queries()[name](spark, DATA).toPandas(), duck.execute(SQL[name]).fetch_df()
+    data = LARGER.get(name, DATA)
+    got, want = entry.queries()[name](spark, data).toPandas(), duck(data).execute(SQL[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
+def test_folds_refuse_too_few_bouts(spark, duck):
+    with pytest.raises(ValueError, match="too few"):
+        entry.queries()["folds"](spark, DATA)
+    assert duck(DATA).execute(SQL["folds"]).fetchall() == []
+
+
 def test_entry_is_the_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["fight_url", "side", "fighter", "fights", "wins", "losses", "win_pct"] and df.count() > 0
