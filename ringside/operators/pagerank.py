@@ -1,18 +1,15 @@
 """Prestige: weighted PageRank on the graph of losers and winners, as of any
 number of ticks at once.
 
-Edges are aggregated once. Graphs that are checked to be small (``SMALL`` edges
-and nodes at most) are iterated in memory, one task a graph. Larger ones are
-computed together, keyed by (as_of, node): each iteration is one join and one
-aggregation over the edges, dealt by (as_of, source), with the dangling mass and
-the change summed a graph, and checkpointed, so the lineage stays short. A graph
-has converged when its total change is below n * tol.
+Edges are aggregated once. All graphs are computed together, keyed by (as_of,
+node): each iteration is one join and one aggregation over the edges, dealt by
+(as_of, source), with the dangling mass and the change summed a graph, and
+checkpointed, so the lineage stays short. A graph has converged when its total
+change is below n * tol; its scores stay as they are while others go on.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +18,6 @@ from .lineage import kept
 # Fixed values.
 DAMPING, TOLERANCE, MOST_ITERATIONS = 0.85, 1e-6, 100
 FINISH_BONUS = {"KO/TKO": 0.3, "Submission": 0.2}
-SMALL = 2_000_000
 EARLY_BONUS, DECAY, DAYS_A_YEAR = 0.1, 0.3, 365.25
 
 
@@ -40,54 +36,25 @@ def graphs(bouts: DataFrame, as_of: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def ranked(nodes: DataFrame, edges: DataFrame, alpha: float = DAMPING, tol: float = TOLERANCE, most: int = MOST_ITERATIONS, small: int = SMALL) -> DataFrame:
+def ranked(nodes: DataFrame, edges: DataFrame, alpha: float = DAMPING, tol: float = TOLERANCE, most: int = MOST_ITERATIONS) -> DataFrame:
     """as_of, node, score. Nodes without any edge get their graph's least score."""
     nodes, edges = kept(nodes), kept(edges)
-    sizes = nodes.groupBy("as_of").count().union(edges.groupBy("as_of").count())
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    return (_ranked_in_memory if largest <= small else _ranked_by_joins)(nodes, edges, alpha, tol, most)
-
-
-def _ranked_in_memory(nodes: DataFrame, edges: DataFrame, alpha: float, tol: float, most: int) -> DataFrame:
-    def scores(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        names = nodes["node"].sort_values().to_numpy()
-        at = pd.Series(np.arange(len(names)), index=names)
-        src, dst, w = at[edges["src"]].to_numpy(), at[edges["dst"]].to_numpy(), edges["w"].to_numpy()
-        n = len(names)
-        out = np.bincount(src, weights=w, minlength=n)
-        share = w / out[src]
-        x = np.full(n, 1 / n)
-        for _ in range(most):
-            new = alpha * (np.bincount(dst, weights=x[src] * share, minlength=n) + x[out == 0].sum() / n) + (1 - alpha) / n
-            moved, x = np.abs(new - x).sum(), new
-            if moved < n * tol:
-                break
-        alone = np.ones(n, dtype=bool)
-        alone[src] = alone[dst] = False
-        x[alone] = x.min()
-        return pd.DataFrame({"as_of": nodes["as_of"].iloc[0], "node": names, "score": x})
-
-    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        return scores(nodes, edges) if len(nodes) else pd.DataFrame({"as_of": [], "node": [], "score": []})
-
-    return nodes.groupBy("as_of").cogroup(edges.groupBy("as_of")).applyInPandas(run, "as_of int, node string, score double")
-
-
-def _ranked_by_joins(nodes: DataFrame, edges: DataFrame, alpha: float, tol: float, most: int) -> DataFrame:
     total = edges.groupBy("as_of", F.col("src").alias("node")).agg(F.sum("w").alias("out"))
     share = kept(edges.join(total.withColumnRenamed("node", "src"), ["as_of", "src"]).select("as_of", "src", "dst", (F.col("w") / F.col("out")).alias("p")))
     size = nodes.groupBy("as_of").agg(F.count("*").alias("n"))
     state = kept(
         nodes.join(size, "as_of").join(total, ["as_of", "node"], "left")
-        .select("as_of", "node", "n", F.col("out").isNull().alias("dangling"), (1.0 / F.col("n")).alias("x"))
+        .select("as_of", "node", "n", F.col("out").isNull().alias("dangling"), (1.0 / F.col("n")).alias("x"), F.lit(None).cast("double").alias("moved"))
     )
     for _ in range(most):
-        lost = state.groupBy("as_of").agg(F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("lost"))
+        lost = state.groupBy("as_of").agg(
+            F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("lost"), F.coalesce(F.sum("moved") >= F.first("n") * tol, F.lit(True)).alias("live")
+        )
         flow = share.join(state.select("as_of", F.col("node").alias("src"), "x"), ["as_of", "src"]).groupBy("as_of", F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("f"))
         new = alpha * (F.coalesce("f", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - alpha) / F.col("n")
         state = kept(
-            state.join(flow, ["as_of", "node"], "left").join(lost, "as_of")
-            .select("as_of", "node", "n", "dangling", new.alias("x"), F.abs(new - F.col("x")).alias("moved"))
+            state.join(flow, ["as_of", "node"], "left").join(lost, "as_of").withColumn("new", F.when(F.col("live"), new).otherwise(F.col("x")))
+            .select("as_of", "node", "n", "dangling", F.col("new").alias("x"), F.abs(F.col("new") - F.col("x")).alias("moved"))
         )
         off = state.groupBy("as_of").agg((F.sum("moved") >= F.first("n") * tol).alias("off")).agg(F.max("off")).first()[0]
         if not off:
