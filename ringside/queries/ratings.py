@@ -86,7 +86,7 @@ _SHARED = (*RECORD_ONLY, *opponents.UNWEIGHED)
 _r.staged("common_opponents", _COMMON, *SALES)
 _r.add("elo", elo, apart.SQL["elo"])
 _r.add("glicko2", glicko2, apart.SQL["glicko2"])
-_r.add("pagerank_ticks", pagerank_ticks)
+_r.add("pagerank_ticks", pagerank_ticks, apart.SQL["pagerank_ticks"])
 _r.add("pagerank_asof", pagerank_asof, _PAGERANK_SQL)
 
 
@@ -138,6 +138,6 @@ def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _r.add("features_all", features_all)
-_r.add("emit_graph", emit_graph)
+_r.add("emit_graph", emit_graph, apart.SQL["emit_graph"])
 
 QUERIES, SQL = _r.queries, _r.sql
