@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import card
 from ..plans import features as F
 from ..plans.bouts import FIGHTERS_FROM_SALES, FROM_SALES
-from ..plans.dialect import Dialect, columns
+from ..plans.dialect import Dialect, Duck, columns
 from ..plans.replay import RATES, RECORD_ONLY, REPLAY, SUMS, VARIED
-from .base import Registry
+from .base import Registry, tables
 
 _r = Registry()
 SALES = ("lineitem", "orders", "customer")
@@ -53,7 +56,15 @@ _r.plan("fight_pivot", _framed.then(F.wide_part(6), ("out", _pivoted)), *SALES,
 
 
 _carded = FROM_SALES.then(*REPLAY[:3], F.CARD, ("out", lambda d: f"SELECT fight_url, side, {columns(F.shown_card(6))} FROM card"))
-_r.plan("emit_card_position", _carded, *SALES)
+_listed = FROM_SALES.then(REPLAY[0], card.LISTED)
+
+
+def emit_card_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = card.averages(_listed.run(spark, tables(spark, sf_dir, *SALES)))
+    return rows.selectExpr("fight_url", "side", *F.shown_card(6))
+
+
+_r.add("emit_card_position", emit_card_position, _carded.text(Duck()))
 
 
 def _sparse(d: Dialect) -> str:
