@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable
@@ -47,6 +48,19 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """As ``checkpointed``, and the shuffle files of finished steps go. Spark drops
+    them only when the driver collects its garbage, which may not happen before
+    many steps have left theirs. Python's handles are given back within a second,
+    so a step's files go at the next call at the latest, unless its plan is still
+    in a variable."""
+    spark = df.sparkSession
+    df = checkpointed(df, rows)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return df
+
+
 @lru_cache(maxsize=1)
 def _trim() -> Callable[[int], int] | None:
     try:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back
+from .common import give_back, settled
 
 SHINGLE = 5
 SEED = 42
@@ -101,16 +101,16 @@ def crowded(one: DataFrame) -> DataFrame:
     point with another text."""
     points = one.select("th", "n", F.explode("bands").alias("point"))
     # written out, so that a join on a point that many texts hold can be split
-    shared = checkpointed(points.groupBy("point").agg(F.count("*").alias("size")).where("size > 1"))
-    return checkpointed(points.join(shared, "point"))
+    shared = settled(points.groupBy("point").agg(F.count("*").alias("size")).where("size > 1"))
+    return settled(points.join(shared, "point"))
 
 
 def with_leader(points: DataFrame) -> DataFrame:
     """A pair (a, b) for each text that meets one whose bands are shared more:
     with the first by that among the leaders of its points."""
     rank = points.groupBy("th").agg(F.struct(F.sum("size").alias("shared"), F.first("n").alias("n"), F.col("th")).alias("rank"))
-    ranked = checkpointed(points.select("th", "point").join(rank, "th"))
-    leader = checkpointed(ranked.groupBy("point").agg(F.max("rank").alias("lead")))
+    ranked = settled(points.select("th", "point").join(rank, "th"))
+    leader = settled(ranked.groupBy("point").agg(F.max("rank").alias("lead")))
     pairs = ranked.join(leader, "point").where("lead > rank").select("th", "lead", F.col("lead.n").alias("na"), F.col("rank.n").alias("nb"))
     pairs = pairs.where(_may_be_alike()).groupBy("th").agg(F.max("lead").alias("lead"))
     return pairs.select(F.least("th", "lead.th").alias("a"), F.greatest("th", "lead.th").alias("b"))
@@ -122,11 +122,11 @@ def with_all(sets: DataFrame) -> DataFrame:
     n / 5 + 1, and what follows there is long enough. Exact; a passage that
     many texts hold comes last and so brings no pairs."""
     grams = sets.select("th", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = checkpointed(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
+    often = settled(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
     by_text = grams.join(often, "g").groupBy("th", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("t"))
     placed = by_text.select("th", "n", (F.col("n") - F.size("t")).alias("alone"), F.posexplode("t").alias("pos", "x"))
     placed = placed.select("th", "n", (F.col("alone") + F.col("pos")).alias("at"), F.col("x.g").alias("g")).where("at <= floor(n / 5)")
-    placed = checkpointed(placed)
+    placed = settled(placed)
     a = placed.select("g", F.col("th").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
     b = placed.select("g", F.col("th").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     rest = 9 * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
@@ -139,7 +139,7 @@ def sets_of(docs: DataFrame, one: DataFrame, points: DataFrame) -> DataFrame:
     keys = one.join(points.select("th").distinct(), "th", "left_semi").select(F.xxhash64("first.doc_id", "th").alias("k"), "th")
     rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", "th")).join(keys, ["k", "th"], "left_semi").dropDuplicates(["k", "th"])
-    return checkpointed(_sets(rows.select("th", "text")))
+    return settled(_sets(rows.select("th", "text")))
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near
-from .common import checkpointed, give_back
+from .common import checkpointed, give_back, settled
 
 SHINGLE = 3
 SEED = 42
@@ -155,17 +155,17 @@ def _leads(one: DataFrame, edges: DataFrame) -> DataFrame:
     linked = one.join(star, one.th == star.node).select("root", "first")
     lead = linked.groupBy("root").agg(F.min("first").alias("lead")).select(F.col("lead.th").alias("th"))
     gone = star.select(F.col("node").alias("th")).join(lead, "th", "left_anti")
-    return checkpointed(one.join(gone, "th", "left_anti"))
+    return settled(one.join(gone, "th", "left_anti"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of text hashes that SimHash links, on the shingles of
     ``near``: a star over the texts of one fingerprint, and the links of fingerprints."""
-    fps = checkpointed(fingerprints(docs, near.SHINGLE, near.SEED).groupBy("th").agg(F.first("fp").alias("fp")))
-    lead = checkpointed(fps.groupBy("fp").agg(F.min("th").alias("lead")))
+    fps = settled(fingerprints(docs, near.SHINGLE, near.SEED).groupBy("th").agg(F.first("fp").alias("fp")))
+    lead = settled(fps.groupBy("fp").agg(F.min("th").alias("lead")))
     same = fps.join(lead, "fp").where("th > lead").select(F.col("lead").alias("a"), F.col("th").alias("b"))
     met = links(lead).join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
-    return checkpointed(same.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    return settled(same.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -175,13 +175,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     since its bits don't bound the likeness, those of ``near`` follow. All are
     verified on whole sets."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("first")
-    one = checkpointed(near.banded(docs).groupBy("th").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")))
+    one = settled(near.banded(docs).groupBy("th").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")))
     points = near.crowded(one)
     linked = candidates(docs)
     sets = near.sets_of(docs, one, points.select("th").union(linked.select(F.explode(F.array("a", "b")).alias("th"))))
-    one = _leads(one, near.verified(sets, linked.union(near.with_leader(points)).distinct()))
+    one = _leads(one, settled(near.verified(sets, linked.union(near.with_leader(points)).distinct())))
     sets = sets.join(near.crowded(one).select("th").distinct(), "th", "left_semi")  # who meets no other any more stays
-    one = _leads(one, near.verified(sets, near.with_all(sets)))
+    one = _leads(one, settled(near.verified(sets, near.with_all(sets))))
     kept = one.select(F.xxhash64("first.doc_id", "th").alias("_rs_k"), F.col("th").alias("_rs_th"))
     # keys without nulls: rows are dealt once, for the join and for repeated rows
     rows = docs.withColumn("_rs_th", F.xxhash64("text")).withColumn("_rs_k", F.xxhash64(F.col("doc_id").cast("long"), "_rs_th"))
