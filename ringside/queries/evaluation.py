@@ -103,7 +103,7 @@ def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on bouts before 2000, scored on the rest."""
-    rows = kept(_rated_matrix(spark, sf_dir))
+    rows = packed(_rated_matrix(spark, sf_dir))
     return model.trained(rows.where("event_date < '2000-01-01'"), rows.where("event_date >= '2000-01-01'"))
 
 
